@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from textloom.plans import aggregation, relational
+from textloom.plans.base import Plan
 
+MODULES = (relational, aggregation)
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus error rates by overlapping strata."""
+    return aggregation.a5_overlapping_strata(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Plan]:
+    return {k: v for m in MODULES for k, v in m.plans.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.plans.sql.items()}

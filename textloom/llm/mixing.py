@@ -42,32 +42,10 @@ def features(text: str) -> set[int]:
 
 
 class PosteriorModel:
-    """Naive Bayes over the presence of its most telling features.
+    """Softmax regression over the presence of a few hundred telling features."""
 
-    Few features with bounded weights keep posteriors soft: what most texts hold says
-    nothing.
-    """
-
-    def __init__(self, domains: list[str], priors: dict[str, int], counts: list[tuple[int, str, int]], n_features: int = 400, smooth: float = 0.5):
-        total = sum(priors.values())
-        self.domains = domains
-        by: dict[int, dict[str, int]] = {}
-        for bucket, domain, n in counts:
-            by.setdefault(bucket, {})[domain] = n
-        scored = []
-        for bucket, found in by.items():
-            everywhere = sum(found.values()) / total
-            gain, weights = 0.0, []
-            for d in domains:
-                p = (found.get(d, 0) + smooth * everywhere) / (priors[d] + smooth)
-                weights.append(math.log(p / everywhere))
-                gain += found.get(d, 0) * math.log(max(found.get(d, 0), 1e-300) / (priors[d] * everywhere)) if found.get(d, 0) else 0.0
-                miss = priors[d] - found.get(d, 0)
-                gain += miss * math.log(miss / (priors[d] * (1 - everywhere))) if miss > 0 and everywhere < 1 else 0.0
-            scored.append((-gain, bucket, weights))
-        scored.sort()
-        self.weights = {bucket: weights for gain, bucket, weights in scored[:n_features] if -gain > 12.0}
-        self.prior = [math.log(priors[d] / total) for d in domains]
+    def __init__(self, domains: list[str], weights: dict[int, list[float]], prior: list[float]):
+        self.domains, self.weights, self.prior = domains, weights, prior
 
     def posteriors(self, text: str | None) -> list[float]:
         score = list(self.prior)
@@ -79,35 +57,78 @@ class PosteriorModel:
         return [x / sum(e) for x in e]
 
 
+def telling(priors: dict[str, int], counts: list[tuple[int, str, int]], most: int = 200, least: int = 4) -> list[int]:
+    """The `most` buckets, held by at least `least` texts, that say most about the domain (mutual information)."""
+    total = sum(priors.values())
+    by: dict[int, dict[str, int]] = {}
+    for bucket, domain, n in counts:
+        by.setdefault(bucket, {})[domain] = n
+    scored = []
+    for bucket, found in by.items():
+        held = sum(found.values())
+        if held < least:
+            continue
+        gain = 0.0
+        for d, size in priors.items():
+            n = found.get(d, 0)
+            for part, whole in ((n, held), (size - n, total - held)):
+                if part:
+                    gain += part * math.log(part * total / (size * whole))
+        scored.append((-gain, bucket))
+    return [bucket for _, bucket in sorted(scored)[:most]]
+
+
+def fit(domains: list[str], rows: list[tuple[str, list[int]]], chosen: list[int], ridge: float = 0.5, rounds: int = 300) -> PosteriorModel:
+    """Softmax regression with an L2 penalty by accelerated gradient descent."""
+    import numpy as np
+
+    column = {f: i + 1 for i, f in enumerate(chosen)}
+    x = np.zeros((len(rows), len(chosen) + 1))
+    x[:, 0] = 1
+    y = np.zeros((len(rows), len(domains)))
+    for i, (d, found) in enumerate(sorted(rows)):
+        x[i, [column[f] for f in found]] = 1
+        y[i, domains.index(d)] = 1
+    penalty = np.full((x.shape[1], 1), ridge)
+    penalty[0] = 0
+    rate = 1 / (0.5 * float(np.linalg.norm(x, 2)) ** 2 + ridge)
+    w = ahead = np.zeros((x.shape[1], len(domains)))
+    for k in range(rounds):
+        z = x @ ahead
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        new = ahead - rate * (x.T @ (p - y) + penalty * ahead)
+        ahead, w = new + k / (k + 3) * (new - w), new
+    return PosteriorModel(domains, {f: w[i].tolist() for f, i in column.items()}, w[0].tolist())
+
+
 def train(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 6_000) -> PosteriorModel:
     """Fit on at most `max_labels` labelled documents, those with the smallest hash of the id.
 
-    The labels in use are so few that they are broadcast.  Label rows with a null id or
-    domain are left out; of several labels of one document the last domain counts.
+    The labels in use are so few that they are broadcast, and their features are so few
+    that the driver fits the model.  Label rows with a null id or domain are left out; of
+    several labels of one document the last domain counts.
     """
     used = labels.select(F.col(id_col).alias("_label_id"), domain.alias("_domain")).dropna().groupBy("_label_id").agg(F.max("_domain").alias("_domain"))
     used = stored(used.orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_labels), "labels")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(used), F.col("_id") == F.col("_label_id")).select("_domain", "_text")
 
-    def run(batches):
-        from collections import Counter
-
+    def find(batches):
         import pyarrow as pa
 
-        found: Counter = Counter()
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found[d, -1] += 1
-                found.update((d, f) for f in features(t.as_py() or ""))
-        yield pa.RecordBatch.from_pydict({"domain": [k[0] for k in found], "bucket": [k[1] for k in found], "n": list(found.values())}, schema=pa.schema([("domain", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())]))
-
-    sums = rows.mapInArrow(run, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n"))
-    # At most BUCKETS + 1 rows for each domain; features of one document tell nothing.
-    got = sums.filter("n > 1 or bucket = -1").collect()
-    priors = {r.domain: r.n for r in got if r.bucket == -1}
+            lists = [sorted(features(t.as_py() or "")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["domain", "found"])
+
+    held = stored(rows.mapInArrow(find, "domain string, found array<long>"), "labelled")
+    priors = {r.domain: r["count"] for r in held.groupBy("domain").count().collect()}
     if not priors:
         raise ValueError("no labelled document to train on")
-    return PosteriorModel(sorted(priors), priors, [(r.bucket, r.domain, r.n) for r in got if r.bucket >= 0])
+    # At most BUCKETS rows for each domain, then at most `max_labels` rows of chosen features.
+    counts = held.select("domain", F.explode("found").alias("bucket")).groupBy("domain", "bucket").count()
+    chosen = telling(priors, [(r.bucket, r.domain, r["count"]) for r in counts.filter("count > 1").collect()])
+    some = held.select("domain", F.array_intersect("found", F.array(*[F.lit(c) for c in chosen]).cast("array<bigint>")).alias("found"))
+    return fit(sorted(priors), [(r.domain, r.found) for r in some.collect()], chosen)
 
 
 def with_posteriors(docs: DataFrame, model: PosteriorModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

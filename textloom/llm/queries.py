@@ -21,7 +21,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
+    return warc.capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,8 @@ WITH p AS (
   SELECT page_id, octet_length(encode(payload)) AS payload_bytes, upper(sha1(payload)) AS hex FROM p
 ), g AS (
   SELECT page_id, payload_bytes, hex,
-         list_aggregate(list_transform(range(8), i -> list_aggregate(list_transform([15, 10, 5, 0],
-           s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * i::INT, 5))::INT >> s) & 31), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+         list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * i::INT, 5))::INT >> s) & 31), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
          max(page_id) OVER (PARTITION BY hex) AS last_id
   FROM d
 )
@@ -103,5 +103,50 @@ FROM m GROUP BY doc_id
 """
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), b AS (
+  SELECT doc_id, text, w, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (
+    SELECT doc_id, unnest(range(1, n_words - 1)) AS i, w[unnest(range(1, n_words - 1))] AS a, w[unnest(range(2, n_words))] AS b, w[unnest(range(3, n_words + 1))] AS c FROM b WHERE n_words >= 3)
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id
+), s AS (
+  SELECT b.doc_id, n_words, word_chars, n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_lettered,
+         len(list_filter(w, lambda x: octet_length(encode(x)) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_capitals
+  FROM b LEFT JOIN r ON b.doc_id = r.doc_id
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_words > 100000 OR NOT word_chars BETWEEN 3 * n_words AND 10 * n_words OR 10 * n_symbols > n_words
+            OR (n_lines >= 6 AND 10 * n_dup_lines > 4 * n_lines) OR 100 * n_lettered < 80 * n_words OR 100 * n_capitals > 30 * n_words) AS kept
+FROM f
+"""
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), v AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20
+), k AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) > 1 AS again FROM v
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM k WHERE again
+), p AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d
+), m AS (
+  SELECT p.doc_id, count(*) AS n_words, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY p.p) FILTER (WHERE c.p IS NULL) AS kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY p.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op2_warc_index_merge": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL}

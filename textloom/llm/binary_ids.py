@@ -54,27 +54,32 @@ def repair(symbols, vocabulary: int, barrier: int, rounds: int = 6, a_round: int
         good = np.flatnonzero(counts >= least)
         room = min(a_round, SYMBOLS - top)
         if len(good) > room:
+            # The most frequent; of equally frequent ones those with smaller symbols.
             good = good[np.argsort(-counts[good], kind="stable")[:room]]
         if not len(good):
             break
         chosen = np.sort(ordered[starts[good]])
-        first = np.zeros(SYMBOLS, bool)
-        first[chosen >> np.uint32(16)] = True
-        second = np.zeros(SYMBOLS, bool)
-        second[chosen & np.uint32(0xFFFF)] = True
-        likely = np.flatnonzero(first[s[:-1]] & second[s[1:]])
-        at = np.searchsorted(chosen, code[likely])
-        at[at == len(chosen)] = 0
-        sure = chosen[at] == code[likely]
-        place, which = likely[sure], at[sure]
+        # A grid over the chosen pairs' first and second symbols tells each place's pair, from 1.
+        firsts, i = np.unique(chosen >> np.uint32(16), return_inverse=True)
+        seconds, j = np.unique(chosen & np.uint32(0xFFFF), return_inverse=True)
+        row, column = np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS, np.int32)
+        row[firsts] = (np.arange(len(firsts)) + 1) * (len(seconds) + 1)
+        column[seconds] = np.arange(len(seconds)) + 1
+        grid = np.zeros((len(firsts) + 1, len(seconds) + 1), np.uint16)
+        grid[i + 1, j + 1] = np.arange(len(chosen)) + 1
+        pair = grid.ravel()[row[s[:-1]] + column[s[1:]]]
+        place = np.flatnonzero(pair)
+        which = pair[place] - np.uint16(1)
         # Of each run of consecutive places, the first, the third and so on.
         run = np.concatenate(([True], np.diff(place) != 1))
         number = np.arange(len(place))
         even = (number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 0
         place, which = place[even], which[even]
-        used, dense = np.unique(which, return_inverse=True)
+        used = np.flatnonzero(np.bincount(which, minlength=len(chosen)))
+        dense = np.zeros(len(chosen), np.uint32)
+        dense[used] = np.arange(top, top + len(used), dtype=np.uint32)
         s = s.copy()
-        s[place] = (top + dense).astype(np.uint32)
+        s[place] = dense[which]
         keep = np.ones(len(s), bool)
         keep[place + 1] = False
         s = s[keep]
@@ -198,8 +203,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vo
 
         size = 0
         for batch in batches:
-            for name, t in zip(batch.column(0), batch.column(1), strict=True):
-                raw = own.encode(t.as_py() or "") + end
+            for name, packed in zip(batch.column(0), own.encode_all(t.as_py() or "" for t in batch.column(1)), strict=True):
+                raw = packed + end
                 if size and size + len(raw) > 4 * shard_ids:
                     yield shard(b"".join(held))
                     held, names, size = [], [], 0

@@ -9,22 +9,25 @@ cut, or with a special token's string, is given to the library whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import filterfalse
 
 from textloom.llm.runtime import one_thread
 
 #: Bytes of one id in the packed form (unsigned, little-endian).
 ID_BYTES = 4
+#: Characters of texts that are encoded together, and words in one call of the library.
+CHUNK, CALL = 1 << 19, 256
 
 
 class Encoder:
     """Packed ids (little-endian unsigned 32-bit) of texts.
 
-    The memo has two generations of at most `max_words` words of at most `max_chars`
+    The memo has two generations of about `max_words` words of at most `max_chars`
     characters, so its memory has a bound and frequent words stay in it.
     """
 
-    def __init__(self, path: str, max_words: int = 200_000, max_chars: int = 48):
+    def __init__(self, path: str, max_words: int = 350_000, max_chars: int = 48):
         one_thread()
         import json
 
@@ -46,10 +49,13 @@ class Encoder:
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._max_words, self._max_chars = max_words, max_chars
-        self._feed = self._pack(self._ids(["\n"])[0])
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self._cuts:
+            vocabulary = self._tokenizer.get_vocab()
+            space, feed = (self._tokenizer.encode(x, add_special_tokens=False).tokens[0] for x in (" ", "\n"))
+            first = np.zeros(max(vocabulary.values()) + 1, bool)
+            first[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+            self._spaced, self._feed_id = first, vocabulary[feed]
+            self._feed = self._pack([self._feed_id])
 
     def _pack(self, ids: list[int]) -> bytes:
         return self._np.asarray(ids, dtype="<u4").tobytes()
@@ -57,35 +63,83 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self._cuts or any(s in text for s in self._special):
-            return self._whole(text)
-        # A unit is a word with the space before it, or "\n" and the word behind it.
-        units = ("\n" + text).replace("\n", " \n")[1:].split(" ")
-        memo = self._memo
-        missing = set(filterfalse(memo.__contains__, units))
-        if missing:
-            for u in missing:
+    def _words(self, words: list[str], gap: str) -> Iterator[bytes]:
+        """Packed ids of words that stand behind a space, or behind a line feed (without the feed's id).
+
+        The library is given many words at once.  Each word begins with the only id that
+        has a space in front, or behind the only ids of line feeds.
+        """
+        np, groups = self._np, [words[i : i + CALL] for i in range(0, len(words), CALL)]
+        joined = [(" " if gap == " " else "") + gap.join(g) for g in groups]
+        for group, e in zip(groups, self._tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            if gap == " ":
+                starts = np.flatnonzero(self._spaced[ids])
+                ends = np.append(starts[1:], len(ids))
+            else:
+                feeds = np.flatnonzero(ids == self._feed_id)
+                starts, ends = np.append(0, feeds + 1), np.append(feeds, len(ids))
+            if len(starts) != len(group):
+                raise ValueError("the library joined words across white space")
+            raw = ids.tobytes()
+            for a, b in zip((ID_BYTES * starts).tolist(), (ID_BYTES * ends).tolist(), strict=True):
+                yield raw[a:b]
+
+    def _learn(self, missing: list[str]) -> tuple[dict[str, bytes], set[str]]:
+        """Packed ids of units that the memo lacks, and those units at which a text must not be cut."""
+        old = self._old
+        found = dict(zip(missing, map(old.get, missing), strict=True))
+        unsafe, spaced, fed = set(), [], []
+        for u, known in found.items():
+            if known is None:
                 word = u[1:] if u[:1] == "\n" else u
                 if not word or word[0].isspace() or word[-1].isspace():
-                    return self._whole(text)
-            if len(memo) + len(missing) > self._max_words:
-                self._old, self._memo = memo, {}
-                memo, missing = self._memo, set(units)
-            old = self._old
-            new = {u: old[u] for u in missing if u in old}
-            names = [u for u in missing if u not in new]
-            found = self._ids([u[1:] if u[0] == "\n" else " " + u for u in names])
-            new.update((u, (self._feed if u[0] == "\n" else b"") + self._pack(ids)) for u, ids in zip(names, found, strict=True))
-            if len(new) > self._max_words or max(map(len, new)) > self._max_chars:
-                return b"".join(new[u] if u in new else memo[u] for u in units)[len(self._feed):]
-            memo.update(new)
-        return b"".join(map(memo.__getitem__, units))[len(self._feed):]
-
-    def count(self, text: str) -> int:
-        return len(self.encode(text)) // ID_BYTES
+                    unsafe.add(u)
+                elif u[0] == "\n":
+                    fed.append(u)
+                else:
+                    spaced.append(u)
+        found.update(zip(spaced, self._words(spaced, " "), strict=True))
+        found.update((u, self._feed + x) for u, x in zip(fed, self._words([u[1:] for u in fed], "\n"), strict=True))
+        short = self._max_chars
+        self._memo.update((u, ids) for u, ids in found.items() if ids is not None and len(u) <= short)
+        return found, unsafe
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        # A unit is a word with the space before it, or "\n" and the word behind it.
+        cut = [None if not self._cuts or any(s in t for s in self._special) else ("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
+        if len(self._memo) > self._max_words:
+            self._old, self._memo = self._memo, {}
+        # The chunk's own words are few and stay in the processor's cache; the memo is asked once for each.
+        own = set().union(*(units for units in cut if units))
+        ids = dict(zip(own, map(self._memo.get, own), strict=True))
+        found, unsafe = self._learn([u for u, known in ids.items() if known is None])
+        ids.update(found)
+        skip = len(self._feed) if self._cuts else 0
+        out = []
+        for text, units in zip(texts, cut, strict=True):
+            if not text:
+                out.append(b"")
+            elif units is None or (unsafe and not unsafe.isdisjoint(units)):
+                out.append(self._whole(text))
+            else:
+                out.append(b"".join(map(ids.__getitem__, units))[skip:])
+        return out
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Packed ids of each text, in order; texts are taken in chunks of a bounded size (or one by one if longer)."""
+        held, size = [], 0
+        for t in texts:
+            if held and size + len(t) > CHUNK:
+                yield from self._encode(held)
+                held, size = [], 0
+            held.append(t)
+            size += len(t)
+        if held:
+            yield from self._encode(held)
+
+    def encode(self, text: str) -> bytes:
+        return self._encode([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}

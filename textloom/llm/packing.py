@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
         own, end = encoder(tokenizer), end_id.to_bytes(ID_BYTES, "little")
         for batch in batches:
             at, out = [], [[], [], [], []]
-            for k, t in enumerate(batch.column(1)):
-                ids = memoryview(own.encode(t.as_py() or "") + end)
+            for k, packed in enumerate(own.encode_all(t.as_py() or "" for t in batch.column(1))):
+                ids = memoryview(packed + end)
                 for n, (start, length) in enumerate(cut(len(ids) // ID_BYTES, size)):
                     at.append(k)
                     for column, v in zip(out, (n, start, length, zlib.crc32(ids[start * ID_BYTES : (start + length) * ID_BYTES])), strict=True):

@@ -21,24 +21,11 @@ from textloom.llm.runtime import stored
 ANCHOR_WORDS = 5
 #: Low bits of an anchor's rank that hold its place, so that of equal hashes the leftmost wins.
 PLACE = (1 << 28) - 1
-BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, at most `limit` of them kept."""
-
-    limit = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word, 1)
-        return h
-
-
-_hashes = _Hashes()
+#: Powers of the hash's base and of its inverse modulo 2**64, as far as documents have needed them.
 _powers: dict[int, object] = {}
 
 
@@ -59,18 +46,23 @@ class WordHashes:
 
     def __init__(self, words: list[bytes]):
         import numpy as np
+        from xxhash import xxh64_intdigest
 
         n = len(words)
-        h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+        h = np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(h * _power(BASE, n)[:n], out=self.sums[1:])
-        self.back = _power(pow(BASE, -1, 1 << 64), n + 1)
+        self.back = _power(INVERSE, n + 1)
         self.n = n
 
     def of(self, start, end):
         """Hashes of words[start:end], for arrays of bounds."""
         return (self.sums[end] - self.sums[start]) * self.back[start]
 
+    def grams(self, k: int):
+        """Hashes of all sequences of `k` words."""
+        return (self.sums[k:] - self.sums[:-k]) * self.back[: self.n - k + 1]
+
 
 def find_anchors(hashes: WordHashes, size: int):
     """(anchor hashes, place, first window, windows): each anchor occurrence and the run of windows that picked it."""
@@ -80,11 +72,10 @@ def find_anchors(hashes: WordHashes, size: int):
     if n < size:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    at = np.arange(n - k + 1)
-    grams = hashes.of(at, at + k)
+    grams = hashes.grams(k)
     mixed = grams ^ (grams >> np.uint64(31))
     mixed = mixed * np.uint64(0x94D049BB133111EB)
-    rank = ((mixed ^ (mixed >> np.uint64(29))) & np.uint64(~PLACE & (2**64 - 1))) | at.astype(np.uint64)
+    rank = ((mixed ^ (mixed >> np.uint64(29))) & np.uint64(~PLACE & (2**64 - 1))) | np.arange(len(grams), dtype=np.uint64)
     width, span = size - k + 1, 1
     while 2 * span <= width:
         rank = np.minimum(rank[:-span], rank[span:])
@@ -133,9 +124,11 @@ def _windows(size: int, kind: str):
             for i, (blob, spots) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 hashes = WordHashes(_unpack(blob).split())
                 anchor, place, first, windows = find_anchors(hashes, size)
-                own = {(int(p), int(a)): j for j, (p, a) in enumerate(zip(place, anchor, strict=True))}
-                picked = [own[k] for k in {(s["place"], s["anchor"]) for s in spots.as_py()} if k in own]
-                if not picked:
+                wanted = np.unique(np.stack([spots.values.field("place").to_numpy(), spots.values.field("anchor").to_numpy()]), axis=1)
+                # Of versions that share an id, only that with this anchor at this place is meant.
+                picked = np.minimum(np.searchsorted(place, wanted[0]), max(len(place) - 1, 0))
+                picked = picked[(place[picked] == wanted[0]) & (anchor[picked] == wanted[1])] if len(place) else picked[:0]
+                if not len(picked):
                     continue
                 j = np.repeat(picked, windows[picked])
                 start = first[j] + np.arange(len(j)) - np.repeat(np.cumsum(windows[picked]) - windows[picked], windows[picked])

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm.bpe import encoder
+from textloom.llm.bpe import ID_BYTES, encoder
 from textloom.llm.runtime import exists, scratch
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long, n_bytes long"
@@ -32,7 +32,7 @@ def _encode(path: str, version: str):
         own = encoder(path)
         for batch in batches:
             texts = batch.column("content")
-            counts = [own.count(t.as_py()) for t in texts]
+            counts = [len(ids) // ID_BYTES for ids in own.encode_all(t.as_py() for t in texts)]
             sizes = [len(t.as_buffer()) for t in texts]
             n = len(counts)
             yield pa.RecordBatch.from_arrays(

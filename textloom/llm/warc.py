@@ -39,8 +39,8 @@ def _identity(page: Column) -> Column:
     return F.concat(F.lit("<urn:textloom:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | Column = "1970-01-01T00:00:00Z", min_revisit_bytes: int = 0, archive_bytes: int = 16 << 20) -> None:
-    """Write one record for each row, as gzipped archives of about `archive_bytes` of payload.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | Column = "1970-01-01T00:00:00Z", min_revisit_bytes: int = 0, archive_records: int = 20_000) -> None:
+    """Write one record for each row, as gzipped archives of at most `archive_records` records.
 
     Of rows with equal payloads (by SHA-1) of at least `min_revisit_bytes`, that with the
     largest id is a response and the others are revisits of it; smaller payloads are all
@@ -68,12 +68,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit(f"{END}WARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit(f"{END}Content-Type: application/http; msgtype=response{END}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END + END),
     )
-    total = pages.agg(F.coalesce(F.sum(F.octet_length(payload_col)), F.lit(0))).first()[0]
-    records = rows.select(F.concat(head, block).alias("value"))
-    n = max(1, -(-total // archive_bytes))
-    if n > partitions(pages.sparkSession):
-        records = records.repartition(n)
-    records.write.option("lineSep", END + END).option("compression", "gzip").text(path)
+    records = rows.select(F.concat(head, block).alias("value")).write.option("maxRecordsPerFile", archive_records)
+    records.option("lineSep", END + END).option("compression", "gzip").text(path)
 
 
 def _entries(archive: str, data) -> dict:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import aggregation, relational
+from textloom.plans import aggregation, governance, relational, texts
 from textloom.plans.base import Plan
 
-MODULES = (relational, aggregation)
+MODULES = (relational, aggregation, texts, governance)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

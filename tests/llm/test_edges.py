@@ -108,6 +108,21 @@ def test_mix_meets_targets(mixed):
     assert all(r.rate >= 0 and math.isclose(r.p_clean + r.p_junk + r.p_toxic, 1, abs_tol=1e-9) for r in rows)
 
 
+def test_mix_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = mixing.mix(docs, none, queries.label_domain(), queries.MIX_WEIGHTS).collect()
+    assert sorted((r.doc_id, r.tokens, r.rate) for r in rows) == [(1, 3, 1.0), (2, 0, 1.0)]
+
+
+def test_mix_shares_the_weight_of_a_domain_without_labels(spark):
+    docs = spark.createDataFrame([(i, ("good fine word " if i % 2 else "bad foul word ") * 20) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = mixing.mix(docs, labels, queries.label_domain(), {"clean": 0.75, "toxic": 0.05, "junk": 0.2}).collect()
+    got = {d: sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) for d in ("clean", "toxic")}
+    assert math.isclose(got["toxic"] / sum(got.values()), 0.0625, abs_tol=0.01)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 

@@ -48,6 +48,8 @@ class PosteriorModel:
         self.domains, self.weights, self.prior = domains, weights, prior
 
     def posteriors(self, text: str | None) -> list[float]:
+        if not self.domains:
+            return []
         score = list(self.prior)
         for f in features(text or "") & self.weights.keys():
             for k, w in enumerate(self.weights[f]):
@@ -107,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc
 
     The labels in use are so few that they are broadcast, and their features are so few
     that the driver fits the model.  Label rows with a null id or domain are left out; of
-    several labels of one document the last domain counts.
+    several labels of one document the last domain counts.  Without labelled documents the
+    model has no domains.
     """
     used = labels.select(F.col(id_col).alias("_label_id"), domain.alias("_domain")).dropna().groupBy("_label_id").agg(F.max("_domain").alias("_domain"))
     used = stored(used.orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_labels), "labels")
@@ -123,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc
     held = stored(rows.mapInArrow(find, "domain string, found array<long>"), "labelled")
     priors = {r.domain: r["count"] for r in held.groupBy("domain").count().collect()}
     if not priors:
-        raise ValueError("no labelled document to train on")
+        return PosteriorModel([], {}, [])
     # At most BUCKETS rows for each domain, then at most `max_labels` rows of chosen features.
     counts = held.select("domain", F.explode("found").alias("bucket")).groupBy("domain", "bucket").count()
     chosen = telling(priors, [(r.bucket, r.domain, r["count"]) for r in counts.filter("count > 1").collect()])
@@ -199,29 +202,34 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], total_tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 6_000, rounds: int = 40) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], total_tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 6_000, rounds: int = 40, labelled: DataFrame | None = None) -> DataFrame:
     """Return (id, tokens, rate, p_<domain>...): how often to take each document.
 
-    `weights` are shares of tokens by domain; a domain without one has share 0, and a
-    weighted domain must have labels.  `total_tokens` is the sum of the targets; without
-    it, it is such that the heaviest domain keeps the tokens that it has.
+    `weights` are shares of tokens by domain, among those of weighted domains; a domain
+    without a weight has no target.  A weighted domain without labels cannot be told
+    apart: the others share its weight in proportion.  `total_tokens` is the sum of the targets; without it, it is such that
+    the heaviest domain keeps the tokens that it has.  The classifier learns from the
+    labelled rows of `labelled` (ids and texts; `docs` by default).
 
     A null text has no tokens and does not change totals; its rate follows from its
     posteriors.  Rows with null or repeated ids each have a rate.  Other columns are not
-    carried.  An empty table gives an empty result.  Without labelled documents it fails.
+    carried.  An empty table gives an empty result.  Without labelled documents of a
+    weighted domain there is nothing to match, and all rates are 1.
     """
-    model = train(docs, labels, domain, id_col, text_col, max_labels)
-    lost = set(weights) - set(model.domains)
-    if lost:
-        raise ValueError(f"no labels for {sorted(lost)}")
+    model = train(docs if labelled is None else labelled, labels, domain, id_col, text_col, max_labels)
     scored = stored(with_posteriors(docs, model, id_col, text_col), "posteriors")
-    share = [weights.get(d, 0.0) / sum(weights.values()) for d in model.domains]
-    if total_tokens is None:
-        k = share.index(max(share))
-        total_tokens = (scored.agg(F.sum(F.col("tokens") * F.col("p")[k])).first()[0] or 0.0) / share[k]
-    steps = fit_steps(scored, [s * total_tokens for s in share], rounds)
+    at = [i for i, d in enumerate(model.domains) if d in weights]
+    told = sum(weights[model.domains[i]] for i in at)
+    steps, aimed = [], F.array(*[F.col("p")[i] for i in at])
+    if told:
+        share = [weights[model.domains[i]] / told for i in at]
+        own = scored.select("tokens", aimed.alias("p"))
+        if total_tokens is None:
+            k = share.index(max(share))
+            total_tokens = (own.agg(F.sum(F.col("tokens") * F.col("p")[k])).first()[0] or 0.0) / share[k]
+        steps = fit_steps(own, [s * total_tokens for s in share], rounds)
     names = [re.sub(r"\W", "_", d) for d in model.domains]
-    return scored.select(F.col("id").alias(id_col), "tokens", rate(F.col("p"), steps).alias("rate"), *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)])
+    return scored.select(F.col("id").alias(id_col), "tokens", rate(aimed, steps).alias("rate"), *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)])
 
 
 def copies(rate: Column, key: Column, snap: float = 0.25) -> Column:

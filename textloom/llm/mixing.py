@@ -232,15 +232,14 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
     return scored.select(F.col("id").alias(id_col), "tokens", rate(aimed, steps).alias("rate"), *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)])
 
 
-def copies(rate: Column, key: Column, snap: float = 0.25) -> Column:
-    """Whole copies for a rate: rates within `snap` of a whole number are rounded, others up or down by a hash of `key`, in proportion."""
-    near = F.round(rate)
+def copies(rate: Column, key: Column) -> Column:
+    """Whole copies for a rate: up or down by a hash of `key`, in proportion, so that copies come to the rate on average."""
     unit = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), key), 11) / F.lit(float(1 << 53))
-    return F.when(F.abs(rate - near) <= snap, near).otherwise(F.floor(rate + unit)).cast("int")
+    return F.floor(rate + unit).cast("int")
 
 
-def apply_mix(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", snap: float = 0.25) -> DataFrame:
+def apply_mix(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Repeat each row of `docs` as often as its rate in `rates` (id, rate) says; a row without one goes."""
     n = rates.groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("rate").alias("_rate"))
-    times = docs.join(n, docs[id_col] == n["_mix_id"]).withColumn("_n", copies(F.col("_rate"), F.col("_mix_id"), snap)).filter("_n > 0")
+    times = docs.join(n, docs[id_col] == n["_mix_id"]).withColumn("_n", copies(F.col("_rate"), F.col("_mix_id"))).filter("_n > 0")
     return times.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

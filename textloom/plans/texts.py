@@ -128,7 +128,7 @@ def _turns(spark, sf):
     """Neighbouring turns of a conversation as reference and hypothesis."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = read(spark, sf, "conversations").withColumn("b", F.lead("text").over(w)).filter("b is not null")
-    return c.select("conv_id", "turn", F.slice(T.tokens(F.col("text")), 1, 120).alias("ref"), F.slice(T.tokens(F.col("b")), 1, 120).alias("hyp"))
+    return c.select("conv_id", "turn", T.tokens(F.col("text")).alias("ref"), T.tokens(F.col("b")).alias("hyp"))
 
 
 @plans.add()
@@ -143,7 +143,7 @@ def al1_common_pairs(spark, sf):
 
 @plans.add()
 def al3_weighted_edits(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", alignment.weighted_edits_of(F.slice("ref", 1, 40), F.slice("hyp", 1, 40)).alias("cost"))
+    return _turns(spark, sf).select("conv_id", "turn", alignment.weighted_edits_of("ref", "hyp").alias("cost"))
 
 
 @plans.add()

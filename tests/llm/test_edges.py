@@ -1,6 +1,9 @@
 """Null ids, empty tables and repeated rows; the mix; the pipeline."""
 
 import math
+import random
+from collections import Counter
+from itertools import combinations
 
 import pytest
 
@@ -72,10 +75,67 @@ def test_local_search_empties_bins():
     assert len(search.run()) == 2
 
 
-def test_repair_shrinks():
-    shard = binary_ids.write_shard([1, 2, 3, 4] * 500 + [50_257] + [1, 2, 3] * 9 + [50_257], 50_257, 2)
-    assert len(shard) < 2 * 2000
-    assert binary_ids.Shard(shard).ids().tolist() == [1, 2, 3, 4] * 500 + [2] + [1, 2, 3] * 9 + [2]
+def expand(symbols, rules, base):
+    """Plain expansion of each symbol."""
+    own = {}
+    for k, (a, b) in enumerate(rules.tolist()):
+        own[base + k] = own.get(a, [a]) + own.get(b, [b])
+    return sum((own.get(x, [x]) for x in symbols.tolist()), [])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repair_leaves_no_pair_twice(seed):
+    rng = random.Random(seed)
+    ids = [rng.randrange(1 + seed) if rng.random() < 0.9 else 9 for _ in range(rng.choice([0, 1, 2, 50, 4000]))]
+    symbols, rules = binary_ids.repair(ids, 10, 9)
+    assert expand(symbols, rules, 10) == ids
+    seen, last = Counter(), None
+    for pair in zip(symbols.tolist(), symbols.tolist()[1:]):
+        last = None if pair == last else pair  # of a run of one symbol every second pair counts
+        if last and 9 not in pair:
+            seen[pair] += 1
+    assert max(seen.values(), default=0) < 2
+    assert all(9 not in r for r in rules.tolist())
+
+
+def test_shard_round_trip():
+    end = 50_257
+    ids = [1, 2, 3, 4] * 500 + [end] + [1, 2, 3] * 9 + [end, end]
+    grammar, documents = binary_ids.write_shard(ids, end, 2)
+    assert len(grammar) + sum(map(len, documents)) < 400 and len(documents) == 3
+    own = binary_ids.Grammar(grammar)
+    assert own.ids(b"".join(documents)).tolist() == [2 if x == end else x for x in ids]
+    assert [own.token(documents[1], i) for i in range(28)] == [1, 2, 3] * 9 + [2]
+
+
+def test_ids_at_the_edge_of_the_vocabulary():
+    grammar, documents = binary_ids.write_shard([99, 0, 100], 100, 2)
+    assert binary_ids.Grammar(grammar).ids(documents[0]).tolist() == [99, 0, 2]
+    for wrong in ([101, 100], [99], [1 << 16, 100]):
+        with pytest.raises(ValueError):
+            binary_ids.write_shard(wrong, 100, 2)
+    with pytest.raises(ValueError):
+        binary_ids.write_shard([1, 70_000], 70_000, 2)
+
+
+def test_local_search_on_large_pieces():
+    rng = random.Random(3)
+    sizes = [rng.randint(500, 1100) for _ in range(1500)]
+    best, packed = packing.best_fit(sizes, 2048), packing.pack(sizes, 2048)
+    assert sorted(sum(packed, [])) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in packed) <= 2048
+    assert len(packed) < len(best)
+    # Nothing is left to gain between any two underfull bins, by brute force.
+    some = [b for b in packed if sum(sizes[i] for i in b) < 2048][:60]
+    options = [[()] + [c for n in (1, 2) for c in combinations(b, n)] for b in some]
+    fills = [sum(sizes[i] for i in b) for b in some]
+    weight = lambda c: sum(sizes[i] for i in c)
+    for a, give in enumerate(options):
+        for b, back in enumerate(options):
+            if a != b:
+                for x in give[1:]:
+                    for y in back:
+                        shift = weight(x) - weight(y)
+                        assert len(x) + len(y) > 3 or shift <= 0 or fills[b] + shift > 2048 or fills[b] + shift <= fills[a]
 
 
 @pytest.fixture(scope="module")

@@ -1,33 +1,36 @@
-"""Exact byte-level BPE ids from the tokenizers library, with a memo of words.
-
-The byte-level pre-tokenizer never lets a piece cross a lone space or a lone line
-feed that stands between two characters that are not white space: the space goes
-to the word behind it, the line feed is a piece of its own.  So a text may be cut
-there and each part encoded by itself.  A text with any other white space at such a
-cut, or with a special token's string, is given to the library whole.
+"""Exact byte-level BPE ids from the tokenizers library, by the distinct units of a batch.
+
+The byte-level pre-tokenizer always begins a new piece at a lone space or line feed that
+stands right before a character that is not white space: white space before it is a piece
+that ends there, and the space goes to the word behind it.  It also begins one at an ASCII
+mark (but the apostrophe) right behind an ASCII letter.  So a text may be cut at such
+places and each unit encoded by itself.  Arrow tells the distinct units of a batch, the
+library (or the memo) their ids, and one gather puts the ids of all texts together.  A
+text with a special token's string is given to the library whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from itertools import filterfalse
+from collections.abc import Iterator
 
 from textloom.llm.runtime import one_thread
 
 #: Bytes of one id in the packed form (unsigned, little-endian).
 ID_BYTES = 4
-#: Characters of texts that are encoded together, and words in one call of the library.
-CHUNK, CALL = 1 << 19, 256
+#: Bytes of text that are encoded together, and units in one call of the library.
+CHUNK, CALL = 1 << 22, 256
+#: Lead bytes under which white space outside ASCII may hide: texts are not cut before them.
+DOUBTFUL = (0xC2, 0xE1, 0xE2, 0xE3)
 
 
 class Encoder:
-    """Packed ids (little-endian unsigned 32-bit) of texts.
+    """Ids (unsigned 32-bit) of texts.
 
-    The memo has two generations of about `max_words` words of at most `max_chars`
-    characters, so its memory has a bound and frequent words stay in it.
+    The memo holds about `max_units` units of at most `max_bytes` bytes and begins anew
+    when it is full, so its memory has a bound.
     """
 
-    def __init__(self, path: str, max_words: int = 350_000, max_chars: int = 48):
+    def __init__(self, path: str, max_units: int = 700_000, max_bytes: int = 64):
         one_thread()
         import json
 
@@ -38,7 +41,7 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._special = [t["content"] for t in spec.get("added_tokens", [])]
+        self._special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
         self._cuts = (
             spec.get("normalizer") is None
@@ -46,100 +49,147 @@ class Encoder:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
         )
-        self._memo: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._max_words, self._max_chars = max_words, max_chars
+        #: Ids are below this.
+        self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        self._memo: dict[bytes, bytes] = {}
+        self._max_units, self._max_bytes = max_units, max_bytes
+        before, mark, letter = np.zeros((3, 256), bool)
+        before[33:] = True
+        before[list(DOUBTFUL)] = False
+        mark[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+        letter[[*range(65, 91), *range(97, 123)]] = True
         if self._cuts:
-            vocabulary = self._tokenizer.get_vocab()
+            known = self._tokenizer.get_vocab()
             space, feed = (self._tokenizer.encode(x, add_special_tokens=False).tokens[0] for x in (" ", "\n"))
-            first = np.zeros(max(vocabulary.values()) + 1, bool)
-            first[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
-            self._spaced, self._feed_id = first, vocabulary[feed]
-            self._feed = self._pack([self._feed_id])
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return self._np.asarray(ids, dtype="<u4").tobytes()
+            self._spaced = np.zeros(max(known.values()) + 1, bool)
+            self._spaced[[i for token, i in known.items() if token.startswith(space)]] = True
+            self._feed_id = known[feed]
+        #: Bytes before which a space or a line feed begins a piece; marks but the apostrophe; letters.
+        self._before, self._mark, self._letter = before, mark, letter
 
-    def _whole(self, text: str) -> bytes:
-        return self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
+    def _ask(self, units: list[bytes], spaced: bool) -> list[bytes]:
+        """Packed ids of units that begin with the only space (or line feed) in them, or with a word, many in a call of the library.
 
-    def _words(self, words: list[str], gap: str) -> Iterator[bytes]:
-        """Packed ids of words that stand behind a space, or behind a line feed (without the feed's id).
-
-        The library is given many words at once.  Each word begins with the only id that
-        has a space in front, or behind the only ids of line feeds.
+        The first id of a unit is then the only one that begins with a space; in the other
+        case each unit stands behind a line feed, and the ids of line feeds tell them apart.
         """
-        np, groups = self._np, [words[i : i + CALL] for i in range(0, len(words), CALL)]
-        joined = [(" " if gap == " " else "") + gap.join(g) for g in groups]
-        for group, e in zip(groups, self._tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        np, out = self._np, []
+        own = units if spaced else [b"\n" + u.removeprefix(b"\n") for u in units]
+        calls = [b"".join(own[i : i + CALL]).decode("utf-8", "replace") for i in range(0, len(own), CALL)]
+        for k, e in enumerate(self._tokenizer.encode_batch_fast(calls, add_special_tokens=False)):
             ids = np.asarray(e.ids, dtype="<u4")
-            if gap == " ":
-                starts = np.flatnonzero(self._spaced[ids])
-                ends = np.append(starts[1:], len(ids))
-            else:
-                feeds = np.flatnonzero(ids == self._feed_id)
-                starts, ends = np.append(0, feeds + 1), np.append(feeds, len(ids))
-            if len(starts) != len(group):
+            starts = np.flatnonzero(self._spaced[ids] if spaced else ids == self._feed_id)
+            raw, ends = ids.tobytes(), (ID_BYTES * np.append(starts[1:], len(ids))).tolist()
+            some = units[k * CALL : (k + 1) * CALL]
+            if len(starts) != len(some):
                 raise ValueError("the library joined words across white space")
-            raw = ids.tobytes()
-            for a, b in zip((ID_BYTES * starts).tolist(), (ID_BYTES * ends).tolist(), strict=True):
-                yield raw[a:b]
-
-    def _learn(self, missing: list[str]) -> tuple[dict[str, bytes], set[str]]:
-        """Packed ids of units that the memo lacks, and those units at which a text must not be cut."""
-        old = self._old
-        found = dict(zip(missing, map(old.get, missing), strict=True))
-        unsafe, spaced, fed = set(), [], []
-        for u, known in found.items():
-            if known is None:
-                word = u[1:] if u[:1] == "\n" else u
-                if not word or word[0].isspace() or word[-1].isspace():
-                    unsafe.add(u)
-                elif u[0] == "\n":
-                    fed.append(u)
-                else:
-                    spaced.append(u)
-        found.update(zip(spaced, self._words(spaced, " "), strict=True))
-        found.update((u, self._feed + x) for u, x in zip(fed, self._words([u[1:] for u in fed], "\n"), strict=True))
-        short = self._max_chars
-        self._memo.update((u, ids) for u, ids in found.items() if ids is not None and len(u) <= short)
-        return found, unsafe
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        # A unit is a word with the space before it, or "\n" and the word behind it.
-        cut = [None if not self._cuts or any(s in t for s in self._special) else ("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
-        if len(self._memo) > self._max_words:
-            self._old, self._memo = self._memo, {}
-        # The chunk's own words are few and stay in the processor's cache; the memo is asked once for each.
-        own = set().union(*(units for units in cut if units))
-        ids = dict(zip(own, map(self._memo.get, own), strict=True))
-        found, unsafe = self._learn([u for u, known in ids.items() if known is None])
-        ids.update(found)
-        skip = len(self._feed) if self._cuts else 0
-        out = []
-        for text, units in zip(texts, cut, strict=True):
-            if not text:
-                out.append(b"")
-            elif units is None or (unsafe and not unsafe.isdisjoint(units)):
-                out.append(self._whole(text))
-            else:
-                out.append(b"".join(map(ids.__getitem__, units))[skip:])
+            starts = (ID_BYTES * starts).tolist()
+            if spaced:
+                out += [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+            else:  # a line feed that was put before a unit is not the unit's
+                out += [raw[a if u[:1] == b"\n" else a + ID_BYTES : b] for u, a, b in zip(some, starts, ends, strict=True)]
+        return out
+
+    def _packed(self, distinct) -> list[bytes]:
+        """Packed ids of distinct units (an Arrow binary array)."""
+        np, units = self._np, distinct.to_pylist()
+        if len(self._memo) > self._max_units:
+            self._memo = {}
+        memo = self._memo
+        out = list(map(memo.get, units))
+        missing = np.array([k for k, ids in enumerate(out) if ids is None], np.int64)
+        if not len(missing):
+            return out
+        bounds = np.frombuffer(distinct.buffers()[1], np.int32, len(units) + 1)
+        data = np.frombuffer(distinct.buffers()[2], np.uint8)
+        blanks = np.concatenate(([0], np.cumsum(data <= 32)))
+        one, size = blanks[bounds[1:]] - blanks[bounds[:-1]], np.diff(bounds)
+        first, second = data[bounds[:-1]], data[np.minimum(bounds[:-1] + 1, len(data) - 1)]
+        led = (one == 1) & (size > 1) & self._before[second] & self._cuts
+        spaced = led & (first == 32)
+        fed = (led & (first == 10)) | ((one == 0) & self._before[first] & self._cuts)
+        for together, which in ((spaced, True), (fed, False)):
+            some = missing[together[missing]].tolist()
+            for k, ids in zip(some, self._ask([units[k] for k in some], which), strict=True):
+                out[k] = ids
+        alone = missing[~(spaced | fed)[missing]].tolist()
+        found = self._tokenizer.encode_batch_fast([units[k].decode("utf-8", "replace") for k in alone], add_special_tokens=False)
+        for k, e in zip(alone, found, strict=True):
+            out[k] = np.asarray(e.ids, dtype="<u4").tobytes()
+        memo.update((units[k], out[k]) for k in missing[size[missing] <= self._max_bytes].tolist())
         return out
 
-    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Packed ids of each text, in order; texts are taken in chunks of a bounded size (or one by one if longer)."""
-        held, size = [], 0
-        for t in texts:
-            if held and size + len(t) > CHUNK:
-                yield from self._encode(held)
-                held, size = [], 0
-            held.append(t)
-            size += len(t)
-        if held:
-            yield from self._encode(held)
+    def _chunk(self, data, offsets):
+        """(ids, how many each text has) of the texts that `offsets` cut out of `data`."""
+        import pyarrow as pa
+
+        np = self._np
+        offsets = offsets - offsets[0]
+        starts, ends = offsets[:-1], offsets[1:]
+        filled = ends > starts
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(starts), np.int64)
+        mark = np.zeros(len(data), bool)
+        if self._cuts:
+            gap = (data == 32) | (data == 10)
+            np.logical_and(gap[:-1], self._before[data[1:]], out=mark[:-1])
+            mark[1:] |= self._letter[data[:-1]] & self._mark[data[1:]]
+            whole = data.tobytes()
+            for s in self._special:
+                at = whole.find(s)
+                while at >= 0:  # no cut in a text that holds it
+                    k = int(np.searchsorted(starts, at, side="right")) - 1
+                    while ends[k] <= at:
+                        k += 1
+                    mark[starts[k] : ends[k]] = False
+                    at = whole.find(s, int(ends[k]))
+        mark[ends[filled] - 1] = False
+        mark[starts[filled]] = True
+        cuts = np.flatnonzero(mark)
+        bounds = np.append(cuts, len(data)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        packed = self._packed(units.dictionary)
+        number = units.indices.to_numpy()
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // ID_BYTES
+        pool = np.frombuffer(b"".join(packed), "<u4")
+        where = np.cumsum(sizes) - sizes
+        n = sizes[number]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat(where[number] - total[:-1], n) + np.arange(total[-1])]
+        first = np.searchsorted(cuts, offsets)
+        return ids, np.diff(total[first])
+
+    def chunks(self, texts) -> Iterator[tuple]:
+        """(first, ids, counts) for runs of the rows of an Arrow string array from row `first` on.
+
+        `ids` are the ids of the run's texts one after the other, `counts` how many each
+        has; a null text has none.  Runs hold about CHUNK bytes, or one longer text.
+        """
+        import pyarrow as pa
+
+        np = self._np
+        texts = texts.cast(pa.large_string())
+        if texts.null_count:
+            texts = texts.fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1)
+            yield first, *self._chunk(data[offsets[first] : offsets[last]], offsets[first : last + 1])
+            first = last
+
+    def counts(self, texts):
+        """How many ids each row of an Arrow string array has."""
+        np = self._np
+        return np.concatenate([np.zeros(0, np.int64), *[n for _, _, n in self.chunks(texts)]])
 
     def encode(self, text: str) -> bytes:
-        return self._encode([text])[0]
+        """Packed ids of one text."""
+        import pyarrow as pa
+
+        return b"".join(ids.astype("<u4").tobytes() for _, ids, _ in self.chunks(pa.array([text], pa.string())))
 
 
 _encoders: dict[str, Encoder] = {}

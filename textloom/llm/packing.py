@@ -10,7 +10,6 @@ pieces, so groups cost at most about one open bin each.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,18 +30,20 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        own, end = encoder(tokenizer), end_id.to_bytes(ID_BYTES, "little")
+        own, end = encoder(tokenizer), np.array([end_id], "<u4")
         for batch in batches:
-            at, out = [], [[], [], [], []]
-            for k, packed in enumerate(own.encode_all(t.as_py() or "" for t in batch.column(1))):
-                ids = memoryview(packed + end)
-                for n, (start, length) in enumerate(cut(len(ids) // ID_BYTES, size)):
-                    at.append(k)
-                    for column, v in zip(out, (n, start, length, zlib.crc32(ids[start * ID_BYTES : (start + length) * ID_BYTES])), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out[0], pa.int32()), *[pa.array(x, pa.int64()) for x in out[1:]]], names=["id", "piece", "start", "length", "ids_crc32"])
+            for first, ids, counts in own.chunks(batch.column(1)):
+                at, out, ends = [], [[], [], [], []], np.cumsum(counts).tolist()
+                for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                    own_ids = memoryview(np.concatenate((ids[a:b], end))).cast("B")
+                    for n, (start, length) in enumerate(cut(b - a + 1, size)):
+                        at.append(first + k)
+                        for column, v in zip(out, (n, start, length, zlib.crc32(own_ids[start * ID_BYTES : (start + length) * ID_BYTES])), strict=True):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out[0], pa.int32()), *[pa.array(x, pa.int64()) for x in out[1:]]], names=["id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {PIECE}")
 
@@ -72,84 +73,124 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Moves and exchanges between underfull bins that raise the sum of squared fills.
+    """Moves and exchanges between underfull bins, each of which raises the sum of squared fills.
+
+    A source gives one or two pieces to a target, which gives none, one or two back
+    (three pieces at most change places).  Of all targets the change with the largest
+    gain is made.  The emptiest bins are sources first; passes over all underfull bins go
+    on until one changes nothing, or the bins are as few as the tokens allow.  As the sum
+    grows with each change, this ends.
 
-    A change that shifts d > 0 tokens from bin a to bin b raises it just if b then is
-    fuller than a was.  The emptiest bins are worked on first, until they are empty, no
-    change is left, or the bins are as few as the tokens allow.
+    Pieces of one size are alike, so a bin of `capacity` tokens has few distinct
+    options, whatever the number of its pieces; options of all bins are in arrays, so a
+    source is held against all of them at once.
     """
 
-    def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int, tries: int = 2_000):
-        self.sizes, self.capacity, self.tries = sizes, capacity, tries
-        self.bins = [list(b) for b in bins]
-        self.fill = [sum(sizes[i] for i in b) for b in bins]
+    def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
+        import numpy as np
+
+        self._np, self.capacity = np, capacity
+        self.total = sum(sizes)
+        self._sizes = sizes
+        self.bins: list[dict[int, list[int]]] = []  # by size, the pieces of each bin
+        for b in bins:
+            held: dict[int, list[int]] = {}
+            for i in b:
+                held.setdefault(sizes[i], []).append(i)
+            self.bins.append(held)
+        self.fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+        self._of = np.zeros(0, np.int64)
+        self._weight, self._count, self._pair = (np.zeros(0, np.int64) for _ in range(3))
+        self._add([b for b in range(len(bins)) if 0 < self.fill[b] < capacity])
 
     def least(self) -> int:
-        return -(-sum(self.sizes) // self.capacity)
-
-    def _change(self, a: int, b: int) -> bool:
-        """The change from a to b that shifts most, if there is one."""
-        room = self.capacity - self.fill[b]
-        need = max(0, self.fill[a] - self.fill[b])  # the shift must be larger
-        best, give, take = need, (), ()
-        mine = sorted((self.sizes[i], i) for i in self.bins[a])
-        theirs = sorted((self.sizes[i], i) for i in self.bins[b])
-        back = [(0, ())] + [(s, (i,)) for s, i in theirs]
-        twos = [(s + t, (i, j)) for k, (s, i) in enumerate(theirs[:24]) for t, j in theirs[k + 1 : 24]]
-        back = sorted(back + twos)
-        weights = [w for w, _ in back]
-        out = [(s, (i,)) for s, i in mine]
-        out += [(s + t, (i, j)) for k, (s, i) in enumerate(mine[:24]) for t, j in mine[k + 1 : 24]]
-        for s, given in out:
-            # The lightest return that leaves a shift within the room.
-            k = bisect_right(weights, s - room - 1)
-            if k < len(back) and best < s - weights[k] <= room and len(given) + len(back[k][1]) <= 3:
-                best, give, take = s - weights[k], given, back[k][1]
-        if not give:
+        return -(-self.total // self.capacity)
+
+    def _options(self, b: int) -> list[tuple[int, int, int]]:
+        """(weight, pieces, sizes as one number) of what a bin may give: nothing, one piece, or two; one way for each weight and count."""
+        held = sorted(self.bins[b])
+        out = {(0, 0): 0}
+        for k, x in enumerate(held):
+            out[(x, 1)] = x
+            for y in held[k if len(self.bins[b][x]) > 1 else k + 1 :]:
+                out.setdefault((x + y, 2), x << 32 | y)
+        return [(w, n, pair) for (w, n), pair in out.items()]
+
+    def _add(self, bins: list[int]) -> None:
+        np = self._np
+        rows = [(b, *o) for b in bins if self.bins[b] and self.fill[b] < self.capacity for o in self._options(b)]
+        of, weight, count, pair = (np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else ([], [], [], [])))
+        self._of, self._weight = np.append(self._of, of), np.append(self._weight, weight)
+        self._count, self._pair = np.append(self._count, count), np.append(self._pair, pair)
+
+    def _take(self, b: int, pair: int) -> list[int]:
+        """Pieces of the sizes that `pair` names leave bin b."""
+        out = []
+        for x in (pair >> 32, pair & 0xFFFFFFFF):
+            if x:
+                out.append(self.bins[b][x].pop())
+                if not self.bins[b][x]:
+                    del self.bins[b][x]
+        return out
+
+    def _change(self, a: int) -> bool:
+        """Make the change from source `a` that gains most, if any gains."""
+        np = self._np
+        fill = self.fill[self._of]
+        room, lead = self.capacity - fill, fill - self.fill[a]
+        other = self._of != a
+        best, how = 0, None
+        for weight, count, pair in self._options(a):
+            if not count:
+                continue
+            shift = weight - self._weight
+            ok = other & (shift > 0) & (shift <= room) & (self._count <= 3 - count)
+            gain = np.where(ok, shift * (lead + shift), 0)
+            k = int(gain.argmax()) if len(gain) else 0
+            if len(gain) and gain[k] > best:
+                best, how = gain[k], (pair, k, weight - int(self._weight[k]))
+        if how is None:
             return False
-        self.bins[a] = [i for i in self.bins[a] if i not in give] + list(take)
-        self.bins[b] = [i for i in self.bins[b] if i not in take] + list(give)
-        self.fill[a] -= best
-        self.fill[b] += best
+        pair, k, shift = how
+        b = int(self._of[k])
+        given, back = self._take(a, pair), self._take(b, int(self._pair[k]))
+        for to, pieces in ((a, back), (b, given)):
+            for i in pieces:
+                self.bins[to].setdefault(self._sizes[i], []).append(i)
+        self.fill[a] -= shift
+        self.fill[b] += shift
+        live = (self._of != a) & (self._of != b)
+        self._of, self._weight, self._count, self._pair = (c[live] for c in (self._of, self._weight, self._count, self._pair))
+        self._add([a, b])
         return True
 
     def run(self) -> list[list[int]]:
-        left, few = self.tries, self.least()
-        count = sum(map(bool, self.bins))
-        stuck: set[int] = set()
-        while left > 0 and count > few:
-            under = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity), key=lambda b: self.fill[b])
-            source = next((b for b in under if b not in stuck), None)
-            if source is None:
-                break
+        np, few = self._np, self.least()
+        changed = True
+        while changed and int((self.fill > 0).sum()) > few:
             changed = False
-            for b in reversed(under):  # the fullest first: small rooms are best filled by exchanges
-                if b == source:
-                    continue
-                left -= 1
-                while self.bins[source] and self.fill[b] < self.capacity and self._change(source, b):
+            for a in np.argsort(self.fill, kind="stable").tolist():
+                while 0 < self.fill[a] < self.capacity and self._change(a):
                     changed = True
-                if not self.bins[source] or left <= 0:
+                if int((self.fill > 0).sum()) <= few:
                     break
-            if not self.bins[source]:
-                count -= 1
-                stuck.clear()
-            elif not changed:
-                stuck.add(source)
-        return [b for b in self.bins if b]
+        return [[i for pieces in b.values() for i in pieces] for b in self.bins if b]
 
 
-def pack(sizes: list[int], capacity: int, tries: int = 2_000) -> list[list[int]]:
-    return LocalSearch(sizes, best_fit(sizes, capacity), capacity, tries).run()
+def pack(sizes: list[int], capacity: int) -> list[list[int]]:
+    bins = best_fit(sizes, capacity)
+    if len(bins) <= -(-sum(sizes) // capacity):
+        return bins
+    return LocalSearch(sizes, bins, capacity).run()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = 32_768, tries: int = 2_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = 16_384) -> DataFrame:
     """Return (id, piece, start, length, ids_crc32, sequence_id, offset) for each piece.
 
     A null text is empty: one piece, the end id alone.  Rows with null or repeated ids
     are documents of their own.  Other columns are not carried.  An empty table gives an
-    empty result.  The local search tries at most `tries` pairs of bins in a group; it
-    stops early where a group's bins are as few as its tokens allow.
+    empty result.  The local search of a group of about `group_pieces` pieces ends where no
+    change gains, or where its bins are as few as its tokens allow.
     """
     rows = stored(pieces(docs, tokenizer, size, end_id, id_col, text_col), "pieces")
     groups = max(1, -(-rows.count() // group_pieces))
@@ -163,7 +204,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
         sizes = table.column("length").to_pylist()
         group = table.column("group")[0].as_py()
         sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        for n, own in enumerate(pack(sizes, size, tries)):
+        for n, own in enumerate(pack(sizes, size)):
             at = 0
             for i in own:
                 sequence[i], offset[i] = (group << 32) + n, at

@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm.bpe import ID_BYTES, encoder
-from textloom.llm.runtime import exists, scratch
+from textloom.llm.bpe import encoder
+from textloom.llm.runtime import exists, scratch, stored
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long, n_bytes long"
 
@@ -27,16 +27,14 @@ def tokenizer_digest(path: str) -> str:
 
 def _encode(path: str, version: str):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
         own = encoder(path)
         for batch in batches:
             texts = batch.column("content")
-            counts = [len(ids) // ID_BYTES for ids in own.encode_all(t.as_py() for t in texts)]
-            sizes = [len(t.as_buffer()) for t in texts]
-            n = len(counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("content_digest"), pa.array([version] * n, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())],
+                [batch.column("content_digest"), pa.array([version] * len(texts), pa.string()), pa.array(own.counts(texts)), pc.cast(pc.binary_length(texts), pa.int64())],
                 names=["content_digest", "tokenizer_digest", "n_tokens", "n_bytes"],
             )
 
@@ -80,6 +78,8 @@ def token_counts(
         wanted = wanted.join(known().select("content_digest"), "content_digest", "left_anti")
     wanted.mapInArrow(_encode(tokenizer, version), CACHE).write.mode("append").parquet(cache)
 
-    return keyed.select("id", "n_bytes", "content_digest").join(known(), "content_digest").select(
+    # The counts are written first: then the join's sides are plain shuffles, and Spark splits a digest that very many rows share.
+    counts = stored(known(), "token-counts")
+    return keyed.select("id", "n_bytes", "content_digest").join(counts, "content_digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit")
     )

@@ -14,20 +14,22 @@ from textloom.llm.runtime import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Written first, so that the join's sides are plain shuffles and Spark splits a hub's edges.
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "links-least")
     return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.col("b").alias("n"), F.col("a").alias("v"))
-    least = down.groupBy("n").agg(F.min("v").alias("m"))
+    least = stored(down.groupBy("n").agg(F.min("v").alias("m")), "links-least")
     moved = down.join(least, "n").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return moved.unionByName(least.select(F.col("m").alias("a"), F.col("n").alias("b"))).filter("a < b").distinct()
 
 
 def component_roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Return (node, root) for every node of `edges` (a, b): root is its component's smallest node."""
+    # Rounds write short tables of their own; `release` deletes them.
     stars = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links-0")
     state = None
     for k in range(max_rounds):

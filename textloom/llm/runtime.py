@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Folders that this process made with `scratch`, by application.
 _made: dict[str, list[str]] = {}
@@ -45,6 +45,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table that `stored` wrote for `df`, once nothing will read it again.
+
+    Only what has itself been written since may follow from it.
+    """
+    spark = df.sparkSession
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for own in [p for p in made if path.endswith(p.rpartition("/")[2])]:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            made.remove(own)
+
+
+def keep_ids(docs: DataFrame, stay: DataFrame, id_col: str) -> DataFrame:
+    """Rows of `docs` whose id is in `stay` (id), and rows without an id, whatever their columns are called."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    known = stay.select(F.col("id").alias("kept"))
+    return rows.join(known, F.col("id") == F.col("kept"), "left").filter("kept is not null or id is null").select("row.*")
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch folder of this application."""
     jvm = spark.sparkContext._jvm

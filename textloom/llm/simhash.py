@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.components import component_minima
-from textloom.llm.runtime import stored
+from textloom.llm.runtime import keep_ids, stored
 
 SEED = 42
 
@@ -106,7 +106,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = stored(fingerprints(docs, id_col, text_col, size), "simhash-fp")
     classes = stored(own.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
     edges = stored(links(classes.select("fp"), within), "simhash-links")
-    members = component_minima(classes.select(F.col("fp").alias("node"), F.col("first").alias("value")), edges)
+    # Written, so that Spark splits the rows of a fingerprint that very many documents share.
+    members = stored(component_minima(classes.select(F.col("fp").alias("node"), F.col("first").alias("value")), edges), "simhash-members")
     out = own.join(members, own.fp == members.node, "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("value").alias("component_id"))
 
@@ -117,5 +118,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows that share an id all stay or go together.  Rows with a null id stay.
     """
     groups = simhash_groups(docs, id_col, text_col, within, size)
-    stay = groups.filter(F.expr(f"`{id_col}` = component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col] == stay["_stay"], "left").filter(F.col("_stay").isNotNull() | docs[id_col].isNull()).drop("_stay")
+    stay = groups.filter(F.col(f"`{id_col}`") == F.col("component_id")).select(F.col(f"`{id_col}`").alias("id")).distinct()
+    return keep_ids(docs, stay, id_col)

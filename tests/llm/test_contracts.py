@@ -70,10 +70,41 @@ def test_token_cache_is_reused(spark, rows, docs):
 def test_warc(spark, rows):
     pages = [(p, f"http://www.example.com/{p % 3}", h) for p, h in rows] + [(900, "https://b.example.org/#x", "same\r\n\r\npage"), (901, None, "same\r\n\r\npage")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", queries.F.lit(1))
-    out = warc.capture_index(df, archive_records=40)
+    date = queries.F.concat(queries.F.lit("20"), (99 - queries.F.pmod("page_id", queries.F.lit(90))).cast("string"), queries.F.lit("-01-01T00:00:00Z"))
+    path = scratch(spark, "warc")
+    out = warc.capture_index(df, path, archive_bytes=4_000, date=date)
     assert sorted(map(tuple, out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == op2([(p, h) for p, _, h in pages])
-    order = [(r.url_key, r.timestamp, r.page_id) for r in out.collect()]
-    assert order == sorted(order)
+    found = out.collect()
+    order = [(r.url_key, r.timestamp, r.page_id) for r in found]
+    assert order == sorted(order) and len({r.timestamp for r in found}) > 5
+    texts = {p: h for p, _, h in pages}
+    assert len({r.archive for r in found}) > 5
+    for r in found[::7]:
+        with open(f"{path.removeprefix('file://')}/{r.archive}", "rb") as f:
+            f.seek(r.offset)
+            record = warc.read_record(f.read(r.length), 0, r.length)
+        assert (record["page_id"], record["timestamp"], record["record_type"]) == (r.page_id, r.timestamp, r.record_type)
+        assert r.record_type == "revisit" or record["payload"].decode() == (texts[r.page_id] or "")
+
+
+def test_archive_is_plain_gzip(spark):
+    """Any reader of gzip reads whole archives; a record of more than 16 MB has an empty member behind it."""
+    import glob
+    import gzip
+
+    path = scratch(spark, "warc")
+    df = spark.createDataFrame([(1, "http://a.b/", "é" * 9_000_000), (2, "http://a.b/", None), (3, None, "<p>x</p>")], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, path)
+    (name,) = glob.glob(f"{path.removeprefix('file://')}/*/*.txt")
+    with gzip.open(name) as f:
+        plain = f.read()
+    assert plain.count(b"WARC/1.0\r\n") == 3 and plain.endswith(b"\r\n\r\n")
+    rows = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert {p: r.payload_bytes for p, r in rows.items()} == {1: 18_000_000, 2: 0, 3: 8}
+    with open(name, "rb") as f:
+        data = f.read()
+    for r in rows.values():
+        assert warc.read_record(data, r.offset, r.length)["page_id"] == r.page_id
 
 
 def test_quality(docs, rows):
@@ -138,7 +169,51 @@ def test_edit_report(docs, rows):
     for r in out.collect():
         assert seen.setdefault(r.fingerprint, texts[r.doc_id] or "") == (texts[r.doc_id] or "")
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert (r.fingerprint == r.edited_fingerprint) == (r.near_edited == 1) == (r.edit_at is None)
+        assert (r.fingerprint == r.edited_fingerprint) == (r.edit_at is None)
+        assert r.near_edited == merkle.likeness(r.fingerprint, r.edited_fingerprint)
+    order = sorted(out.collect(), key=lambda r: r.doc_id)
+    for r, after in zip(order, [*order[1:], order[0]]):
+        assert r.near_next == merkle.likeness(r.fingerprint, after.fingerprint)
+        words = len(texts[r.doc_id] or "")
+        if words > 1000 and r.fingerprint != r.edited_fingerprint:
+            # Three quarters of the text stay; a leaf or two at the cut may go, and what is put in may be like what went.
+            assert 0.55 <= r.near_edited <= 1 and r.edit_at >= words // 2
+
+
+def plain_tree(text):
+    """Leaf hashes below each paragraph, by the documented rules, line by line."""
+    import hashlib
+    import re
+
+    out = []
+    for line in re.findall(rb"[^\n]*\n|[^\n]+$", (text or "").encode()):
+        clauses = [x for x in re.split(rb"(?<=[.!?;,:] )", line) if x]
+        parts = []
+        for c in clauses:
+            start = 0
+            if len(c) > merkle.LEAF_BYTES:
+                at = (text or "").encode().index(line) + line.index(c)
+                whole = (text or "").encode()
+                for k in range(1, len(c)):
+                    w = whole[max(0, at + k - 4) : at + k]
+                    if len(w) == 4 and len(set(w)) > 1 and (int.from_bytes(w, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 27 == 0:
+                        parts.append(c[start:k])
+                        start = k
+            parts.append(c[start:])
+        parts = [x[k : k + merkle.MOST_BYTES] for x in parts for k in range(0, len(x), merkle.MOST_BYTES)]
+        out.append([hashlib.blake2b(x, digest_size=6).digest() for x in parts])
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "one", "a, b. c\n\nd", "x" * 500, "\n".join(f"line {i}, with some words; and {i * 7919} more of them without any mark at all up to the end" for i in range(40))])
+def test_tree_is_rebuilt_plainly(text):
+    tree = merkle.Tree.of(text)
+    paragraphs = plain_tree(text)
+    assert tree.hashes[0] == [h for p in paragraphs for h in p]
+    assert len(tree.hashes) < 2 or len(tree.hashes[1]) == len(paragraphs)
+    again = merkle.Tree.parse(tree.fingerprint())
+    assert again.hashes == tree.hashes and again.weights == tree.weights and again.root == tree.root
+    assert sum(tree.weights[0]) == len(text.encode())
 
 
 def test_simhash(docs, rows):

@@ -6,6 +6,7 @@ import corpus_pipeline
 import pytest
 
 from textloom.llm import mixing, queries
+from textloom.llm.runtime import default_tokenizer
 
 
 @pytest.mark.parametrize("rate", [0.05, 0.2, 0.75, 0.8, 1.0, 1.2, 2.1])
@@ -18,7 +19,7 @@ def test_copies_come_to_the_rate(spark, rate):
 def test_totals_after_apply_mix(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    rates = mixing.stored(mixing.mix(docs, labels, queries.label_domain(), corpus_pipeline.MIX_WEIGHTS), "test-rates")
+    rates = mixing.stored(mixing.mix(docs, labels, queries.label_domain(), corpus_pipeline.MIX_WEIGHTS, default_tokenizer()), "test-rates")
     sums = [mixing.F.sum(mixing.F.col("n") * mixing.F.col("tokens") * mixing.F.col(f"p_{d}")).alias(d) for d in ("clean", "toxic")]
     spread = [mixing.F.sqrt(mixing.F.sum(mixing.F.expr(f"(rate - floor(rate)) * (ceil(rate) - rate) * pow(tokens * p_{d}, 2)"))).alias(f"e_{d}") for d in ("clean", "toxic")]
     fitted = rates.withColumn("n", mixing.F.col("rate")).agg(*sums, *spread).first()

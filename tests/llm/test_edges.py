@@ -150,7 +150,7 @@ def test_posteriors_on_held_out_labels(mixed):
     fold = labels.filter("pmod(xxhash64(doc_id), 4) <> 0")
     model = mixing.train(docs, fold, queries.label_domain())
     held = labels.filter("pmod(xxhash64(doc_id), 4) = 0").withColumn("domain", queries.label_domain())
-    rows = mixing.with_posteriors(docs, model).join(held, queries.F.col("id") == held.doc_id).collect()
+    rows = mixing.with_posteriors(docs, model, default_tokenizer()).join(held, queries.F.col("id") == held.doc_id).collect()
     right = [model.domains[max(range(len(r.p)), key=r.p.__getitem__)] == r.domain for r in rows]
     assert sum(right) / len(right) > 0.9
     toxic = [r for r in rows if r.domain == "toxic"]
@@ -159,26 +159,104 @@ def test_posteriors_on_held_out_labels(mixed):
 
 def test_mix_meets_targets(mixed):
     docs, labels = mixed
-    rows = mixing.mix(docs, labels, queries.label_domain(), queries.MIX_WEIGHTS).collect()
+    rows = mixing.mix(docs, labels, queries.label_domain(), queries.MIX_WEIGHTS, default_tokenizer()).collect()
     assert len(rows) == docs.count()
     got = {d: sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) for d in queries.MIX_WEIGHTS}
     total = sum(got.values())
     for d, w in queries.MIX_WEIGHTS.items():
-        assert math.isclose(got[d] / total, w, abs_tol=0.01), got
+        assert math.isclose(got[d] / total, w, rel_tol=0.01), got
     assert all(r.rate >= 0 and math.isclose(r.p_clean + r.p_junk + r.p_toxic, 1, abs_tol=1e-9) for r in rows)
 
 
 def test_mix_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    rows = mixing.mix(docs, none, queries.label_domain(), queries.MIX_WEIGHTS).collect()
-    assert sorted((r.doc_id, r.tokens, r.rate) for r in rows) == [(1, 3, 1.0), (2, 0, 1.0)]
+    rows = mixing.mix(docs, none, queries.label_domain(), queries.MIX_WEIGHTS, default_tokenizer()).collect()
+    assert sorted((r.doc_id, r.tokens, r.rate) for r in rows) == [(1, 3, 1.0), (2, 0, 1.0)]  # a, ' b', ' c'
+
+
+def plain_rates(tokens, p, goal, rounds=2_000):
+    """Projected gradient in the Gram metric, written out; no step is left out or halved early."""
+    import numpy as np
+
+    gram = (p * tokens[:, None]).T @ p
+    inverse = np.linalg.inv(gram + np.eye(len(goal)) * 1e-9 * np.trace(gram))
+    r, size = np.ones(len(tokens)), 1.0
+    miss = lambda x: (x * tokens) @ p - goal
+    for _ in range(rounds):
+        off = miss(r)
+        new = np.maximum(0, r - p @ (size * (inverse @ off)))
+        if miss(new) @ inverse @ miss(new) < off @ inverse @ off:
+            r = new
+        else:
+            size /= 2
+    return r
+
+
+@pytest.mark.parametrize("goal", [[3000.0, 900.0, 500.0], [5000.0, 1200.0, 250.0], [100.0, 100.0, 4000.0]])
+def test_fit_is_plain_projected_gradient(spark, goal):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.3, 0.2, 0.1], 120)
+    tokens = rng.integers(0, 90, 120)
+    df = mixing.stored(spark.createDataFrame([(i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))], "id long, tokens long, p array<double>"), "test-scored")
+    found = mixing.fit_rates(df, goal, mixing.F.col("p"), rounds=200)
+    got = np.array([r.r for r in found.rows.orderBy("id").collect()])
+    want = plain_rates(tokens, p, np.array(goal))
+    assert found.converged and (got >= 0).all()
+    assert np.abs((got * tokens) @ p - (want * tokens) @ p).max() <= 1e-4 * sum(goal)
+    assert np.allclose((got * tokens) @ p, goal, rtol=1e-3, atol=1e-3 * sum(goal))
+
+
+def test_fit_says_that_it_has_not_settled(spark):
+    df = mixing.stored(spark.createDataFrame([(i, 10, [0.9 - i / 100, 0.1 + i / 100]) for i in range(60)], "id long, tokens long, p array<double>"), "test-scored")
+    assert not mixing.fit_rates(df, [5000.0, 40.0], mixing.F.col("p"), rounds=1).converged
+
+
+def test_apply_mix_keeps_columns_and_null_ids(spark):
+    rows = [(None, "a", 1, 2, 3), (None, "b", 1, 2, 3), (1, "c", 4, 5, 6), (1, "d", 4, 5, 6), (2, None, 7, 8, 9), (3, "gone", 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rate int, n int, copy int")
+    rates = spark.createDataFrame([(None, 2.0), (None, 2.0), (1, 1.0), (1, 3.0), (2, 1.0)], "doc_id long, rate double")
+    out = mixing.apply_mix(docs, rates)
+    assert out.columns == docs.columns
+    want = [r for r in rows for _ in range({None: 2, 1: 2, 2: 1, 3: 0}[r[0]])]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
+CLASHING = ("id", "row", "text_", "n", "rate", "copy", "kept", "of", "version", "lines", "dropped", "n_lines", "n_dropped", "first", "gone", "node", "a", "b", "value", "root", "tokens", "p", "r", "bucket", "guest",
+            "_id", "_of", "_gone", "_n", "_rate", "_stay", "_text", "_mix_id", "_label_id", "h", "fp", "digest", "content", "size", "blob", "gram", "group", "piece", "start", "length", "key", "pos", "line", "h1", "h2")
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in __import__("corpus_pipeline").STAGES])
+def test_stages_on_odd_tables(spark, sf, stage):
+    """Each pipeline stage with clashing columns, null ids and texts, repeats, a very long text, and without rows."""
+    import corpus_pipeline as p
+
+    base = "\n".join(f"An honest line of plain words number {i} that reads well and says one more thing" for i in range(12))
+    texts = [(1, base), (2, base.replace("honest", "frank")), (None, base), (None, None), (3, None), (3, ""), (4, "word " * 150_000), (5, base), (5, base)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in texts], schema)
+    wide = docs.select("*", *[queries.F.concat(queries.F.lit(f"{c}:"), queries.F.coalesce(queries.F.col("doc_id").cast("string"), queries.F.lit("none"))).alias(c) for c in CLASHING])
+    run = dict(p.STAGES)[stage]
+    for df in (wide, wide.limit(0)):
+        out = run(spark, df, sf)
+        rows = out.collect()
+        if stage == "best_fit_packing":
+            assert len({(r.doc_id, r.piece, r.start) for r in rows}) <= len(rows)
+            continue
+        assert out.columns == df.columns
+        for r in rows:
+            assert all(r[c] == f"{c}:{'none' if r.doc_id is None else r.doc_id}" for c in CLASHING)
+        if stage in ("line_dedup", "simhash_near_dedup"):
+            n = sum(r.doc_id is None for r in rows)
+            assert n == (2 if df is wide else 0)
 
 
 def test_mix_shares_the_weight_of_a_domain_without_labels(spark):
     docs = spark.createDataFrame([(i, ("good fine word " if i % 2 else "bad foul word ") * 20) for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
-    rows = mixing.mix(docs, labels, queries.label_domain(), {"clean": 0.75, "toxic": 0.05, "junk": 0.2}).collect()
+    rows = mixing.mix(docs, labels, queries.label_domain(), {"clean": 0.75, "toxic": 0.05, "junk": 0.2}, default_tokenizer()).collect()
     got = {d: sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) for d in ("clean", "toxic")}
     assert math.isclose(got["toxic"] / sum(got.values()), 0.0625, abs_tol=0.01)
 

@@ -1,111 +1,161 @@
 """Merkle fingerprints of documents.
 
-Leaves are paragraphs (lines); long paragraphs are cut into clauses, and long clauses
-after words whose hash says so, so that an edit moves no cut elsewhere.  Sections are
-runs of nodes that end where a node's hash says so; levels of sections go on up to the
-root.  Equal roots mean equal texts, and a walk down differing branches
-finds the edits.
+Paragraphs are lines; their clauses are the leaves, and long clauses are cut where a hash
+of the last bytes says so, so that an edit moves no cut elsewhere.  Paragraph nodes stand
+over clauses, section nodes over runs of paragraphs that end where a node's hash says so,
+and further sections over sections up to one top node.  Equal roots mean equal texts; a
+comparison goes down differing branches only and ends at the leaves that were edited.
+
+A fingerprint is the root and, behind a point, the leaves (hash, length, whether a
+paragraph ends there): the branches follow from them.  So fingerprints alone tell how
+alike two texts are, and where they differ.
 """
 
 from __future__ import annotations
 
-import re
+import base64
 import struct
+from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.runtime import partitions
 
-#: A paragraph, sentence or clause longer than this many bytes is cut further.
+#: A clause longer than this many bytes is cut further.
 LEAF_BYTES = 64
+#: No leaf is longer than this: clauses that the hash does not cut, as it never falls well in them, are cut from their start on.
+MOST_BYTES = 256
 #: A section ends at a node with a chance of one in this many.
 FAN = 8
-_CLAUSES = re.compile(rb"(?<=[.!?;,:]) ")
-_WORDS = re.compile(rb"[^ ]* ?")
+#: Bytes of a leaf's hash in a fingerprint, and of its length.
+HASH_BYTES, LENGTH_BYTES = 6, 3
+_END = 1 << (8 * LENGTH_BYTES - 1)
+
+
+@cache
+def _clause_end():
+    """A table over bytes: marks behind which a space ends a clause."""
+    import numpy as np
+
+    out = np.zeros(256, bool)
+    out[list(b".!?;,:")] = True
+    return out
+
+
+def leaf_ends(data: bytes):
+    """Where leaves end, in order, and whether a paragraph ends there."""
+    import numpy as np
+
+    if not data:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    b = np.frombuffer(data, np.uint8)
+    line = b == 10
+    cut = line.copy()
+    cut[1:] |= (b[1:] == 32) & _clause_end()[b[:-1]]
+    cut[-1] = True
+    ends = np.flatnonzero(cut) + 1
+    sizes = np.diff(ends, prepend=0)
+    if len(b) > LEAF_BYTES and int(sizes.max()) > LEAF_BYTES:
+        window = b[3:].astype(np.uint32) | b[2:-1].astype(np.uint32) << 8 | b[1:-2].astype(np.uint32) << 16 | b[:-3].astype(np.uint32) << 24
+        # One place in 32, but not within runs of one byte.
+        some = np.flatnonzero(((window * np.uint32(0x9E3779B1)) >> np.uint32(27) == 0) & (window != b[3:].astype(np.uint32) * np.uint32(0x01010101))) + 4
+        some = some[sizes[np.minimum(np.searchsorted(ends, some), len(ends) - 1)] > LEAF_BYTES]
+        ends = np.union1d(ends, some)
+        if int(np.diff(ends, prepend=0).max()) > MOST_BYTES:
+            starts = np.append(0, ends[:-1])
+            ends = np.union1d(ends, np.concatenate([np.arange(s + MOST_BYTES, e, MOST_BYTES) for s, e in zip(starts, ends, strict=True) if e - s > MOST_BYTES]))
+    last = line[ends - 1]
+    last[-1] = True
+    return ends, last
 
 
-def _hash(data: bytes) -> bytes:
-    from hashlib import blake2b
-
-    return blake2b(data, digest_size=16).digest()
-
-
-def leaves(text: str) -> list[bytes]:
-    """The parts of a text's UTF-8, in order; joined they are the text."""
-    from zlib import crc32
-
-    out: list[bytes] = []
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    for line in [*[x + b"\n" for x in lines[:-1]], lines[-1]]:
-        if len(line) <= LEAF_BYTES:
-            out.append(line)
-            continue
-        at = 0
-        for cut in [*[m.end() for m in _CLAUSES.finditer(line)], len(line)]:
-            clause, at = line[at:cut], cut
-            if len(clause) <= LEAF_BYTES:
-                out.append(clause)
-                continue
-            start = 0
-            for m in _WORDS.finditer(clause):
-                if crc32(m[0]) % 6 == 0:
-                    out.append(clause[start : m.end()])
-                    start = m.end()
-            out.append(clause[start:])
-    return [x for x in out if x]
+class Tree:
+    """hashes[0] are leaves, hashes[1] paragraphs, further levels sections up to one node; weights are bytes of text."""
 
+    def __init__(self, leaves: list[bytes], weights: list[int], ends: list[bool], root: bytes):
+        from hashlib import blake2b
 
-class Tree:
-    """levels[0] are leaf hashes, each further level hashes of sections up to one at most; root also binds the length."""
-
-    def __init__(self, text: str):
-        parts = leaves(text)
-        self.weights = [len(p) for p in parts]
-        level = [_hash(b"\0" + p) for p in parts]
-        self.levels = [level]
-        #: spans[k]: which nodes of levels[k] each node of levels[k + 1] is over.
+        self.root, self._ends = root, ends
+        self.hashes, self.weights = [leaves], [weights]
+        #: spans[k]: which nodes of level k each node of level k + 1 is over.
         self.spans: list[list[tuple[int, int]]] = []
-        while len(level) > 1:
-            ends = [i + 1 for i, h in enumerate(level[:-1]) if h[0] % FAN == 0] + [len(level)]
-            spans = list(zip([0, *ends[:-1]], ends, strict=True))
-            if len(spans) == len(level):
-                spans = [(0, len(level))]
-            level = [_hash(b"\1" + b"".join(level[a:b])) for a, b in spans]
-            self.levels.append(level)
+        cuts = [i + 1 for i, e in enumerate(ends) if e]
+        while leaves and (not self.spans or len(self.hashes[-1]) > 1):
+            below, heavy = self.hashes[-1], self.weights[-1]
+            if self.spans:
+                cuts = [*[i + 1 for i, h in enumerate(below[:-1]) if h[0] % FAN == 0], len(below)]
+                if len(cuts) == len(below):
+                    cuts = [len(below)]
+            spans = list(zip([0, *cuts[:-1]], cuts, strict=True))
             self.spans.append(spans)
-        self.root = _hash(b"\2" + (level[0] if level else b"") + struct.pack("<Q", sum(self.weights)))
-
-
-def likeness(a: Tree, b: Tree) -> float:
-    """Bytes of leaves that both have, by the larger text's bytes; 1 for equal roots."""
+            self.hashes.append([blake2b(b"".join(below[a:b]), digest_size=16).digest() for a, b in spans])
+            self.weights.append([sum(heavy[a:b]) for a, b in spans])
+
+    @classmethod
+    def of(cls, text: str | None) -> Tree:
+        """The tree of a text; its root binds the top node, the text and its length."""
+        from hashlib import blake2b
+
+        data = (text or "").encode("utf-8", "surrogatepass")
+        ends, last = leaf_ends(data)
+        cuts = ends.tolist()
+        parts = [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        tree = cls([blake2b(x, digest_size=HASH_BYTES).digest() for x in parts], [len(x) for x in parts], last.tolist(), b"")
+        top = tree.hashes[-1][0] if parts else b""
+        tree.root = blake2b(top + struct.pack("<Q", len(data)) + blake2b(data, digest_size=16).digest(), digest_size=16).digest()
+        return tree
+
+    def fingerprint(self) -> str:
+        rows = [h + (w | _END * e).to_bytes(LENGTH_BYTES, "little") for h, w, e in zip(self.hashes[0], self.weights[0], self._ends, strict=True)]
+        return self.root.hex() + "." + base64.b64encode(b"".join(rows)).decode()
+
+    @classmethod
+    def parse(cls, fingerprint: str) -> Tree:
+        """The tree of a fingerprint."""
+        root, _, rest = fingerprint.partition(".")
+        data, step = base64.b64decode(rest), HASH_BYTES + LENGTH_BYTES
+        marks = [int.from_bytes(data[i + HASH_BYTES : i + step], "little") for i in range(0, len(data), step)]
+        return cls([data[i : i + HASH_BYTES] for i in range(0, len(data), step)], [m & (_END - 1) for m in marks], [m >= _END for m in marks], bytes.fromhex(root))
+
+
+def compare(a: Tree, b: Tree) -> tuple[float, list[int], list[int]]:
+    """(likeness, leaves of `a` below differing branches, leaves of `b` below them).
+
+    From the top down, branches that both trees have (as often as both have them, at any
+    place of the level) count with all their bytes and are not entered; the others are.
+    Likeness is what they count by the larger text's bytes; 1 for equal roots.
+    """
     if a.root == b.root:
-        return 1.0
+        return 1.0, [], []
     from collections import Counter
 
-    most = max(sum(a.weights), sum(b.weights))
-    if not most:
-        return 1.0
-    theirs = Counter(b.levels[0])
-    shared = 0
-    for h, w in zip(a.levels[0], a.weights, strict=True):
-        if theirs[h] > 0:
-            theirs[h] -= 1
-            shared += w
-    return min(shared / most, 1.0)
+    most = max(sum(a.weights[0]), sum(b.weights[0]))
+    shared, open_a, open_b = 0, [], []
+    for level in range(max(len(a.hashes), len(b.hashes)) - 1, -1, -1):
+        open_a, open_b = (list(range(len(t.hashes[level]))) if level == len(t.hashes) - 1 else at for t, at in ((a, open_a), (b, open_b)))
+        if open_a and open_b:
+            mine, theirs = ([t.hashes[level][i] for i in at] for t, at in ((a, open_a), (b, open_b)))
+            both = Counter(mine) & Counter(theirs)
+            if both:
+                left = {}
+                for which, (t, at, found) in enumerate(((a, open_a, mine), (b, open_b, theirs))):
+                    budget, rest = Counter(both), []
+                    for i, h in zip(at, found, strict=True):
+                        if budget[h]:
+                            budget[h] -= 1
+                            shared += t.weights[level][i] * (which == 0)
+                        else:
+                            rest.append(i)
+                    left[which] = rest
+                open_a, open_b = left[0], left[1]
+        if level:
+            open_a, open_b = ([j for i in at for j in range(*t.spans[level - 1][i])] if level < len(t.hashes) else at for t, at in ((a, open_a), (b, open_b)))
+    return (min(1.0, shared / most) if most else 0.0), open_a, open_b
 
 
-def differing_leaves(a: Tree, b: Tree) -> list[int]:
-    """Positions of leaves of `a` below branches that `b` has nowhere: where the edits are."""
-    if a.root == b.root:
-        return []
-    level, at = len(a.levels) - 1, list(range(len(a.levels[-1])))
-    while level >= 0:
-        have = set(b.levels[level]) if level < len(b.levels) else set()
-        at = [i for i in at if a.levels[level][i] not in have]
-        if level:
-            at = [j for i in at for j in range(*a.spans[level - 1][i])]
-        level -= 1
-    return at
+def likeness(one: str, other: str) -> float:
+    """How alike the texts of two fingerprints are, from 0 to 1."""
+    return compare(Tree.parse(one), Tree.parse(other))[0]
 
 
 def edited(text: str, following: str) -> str:
@@ -115,7 +165,7 @@ def edited(text: str, following: str) -> str:
 
 
 def merkle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (id, fingerprint, n_leaves, leaf_hashes) of each row: the root, and the tree's leaves.
+    """Return (id, fingerprint, root, n_leaves, n_paragraphs) of each row.
 
     A null text is empty: a tree without leaves.  Rows with null or repeated ids each
     give a row.  Other columns are not carried.  An empty table gives an empty result.
@@ -126,11 +176,12 @@ def merkle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         import pyarrow as pa
 
         for batch in batches:
-            trees = [Tree(t.as_py() or "") for t in batch.column(1)]
-            out = [pa.array([t.root.hex() for t in trees]), pa.array([len(t.weights) for t in trees], pa.int64()), pa.array([[h.hex() for h in t.levels[0]] for t in trees], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["id", "fingerprint", "n_leaves", "leaf_hashes"])
+            trees = [Tree.of(t.as_py()) for t in batch.column(1)]
+            out = [pa.array([t.fingerprint() for t in trees]), pa.array([t.root.hex() for t in trees])]
+            out += [pa.array([len(t.hashes[k]) if k < len(t.hashes) else 0 for t in trees], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["id", "fingerprint", "root", "n_leaves", "n_paragraphs"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint string, n_leaves long, leaf_hashes array<string>").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint string, root string, n_leaves long, n_paragraphs long").withColumnRenamed("id", id_col)
 
 
 REPORT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_at long"
@@ -140,10 +191,10 @@ def _compare(text: str, tree: Tree, following: str, next_tree: Tree) -> tuple:
     from hashlib import sha256
 
     new = edited(text, following)
-    new_tree = Tree(new)
-    first = next(iter(differing_leaves(tree, new_tree)), None)
-    at = None if first is None else sum(tree.weights[:first])
-    return (len(text), sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), tree.root.hex(), new_tree.root.hex(), likeness(tree, new_tree), likeness(tree, next_tree), at)
+    new_tree = Tree.of(new)
+    near, places, _ = compare(tree, new_tree)
+    at = None if tree.root == new_tree.root else sum(tree.weights[0][: places[0]]) if places else sum(tree.weights[0])
+    return (len(text), sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), tree.fingerprint(), new_tree.fingerprint(), near, compare(tree, next_tree)[0], at)
 
 
 def _neighbours(batches):
@@ -157,7 +208,7 @@ def _neighbours(batches):
         out = []
         for bucket, doc, guest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
             text = t.as_py() or ""
-            tree = Tree(text)
+            tree = Tree.of(text)
             if held is not None and held[0] == bucket:
                 out.append((held[1], *_compare(held[2], held[3], text, tree)))
             held = None if guest else (bucket, doc, text, tree)
@@ -178,8 +229,8 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Compare each document with its edited text and with the next document.
 
     Returns (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, edit_at): edit_at is the byte at which the first differing leaf begins,
-    null if the edit changes nothing.  The next document is that with the next larger
+    near_next, edit_at): edit_at is the byte at which the first differing leaf begins (the
+    text's length if leaves were only added), null if the edit changes nothing.  The next document is that with the next larger
     id; after the last comes the first; one document alone is its own next.
 
     A null text is empty.  Rows with a null id come first.  Rows that share an id follow

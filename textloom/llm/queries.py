@@ -21,7 +21,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # Pages bear no dates: made of the ids, so that captures of one URL key are not in the order of their ids.
+    date = F.date_format(F.timestamp_seconds(1_500_000_000 + F.pmod(F.xxhash64("page_id"), F.lit(100_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return warc.capture_index(table(spark, sf_dir, "pages"), date=date).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_target_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_domain(), MIX_WEIGHTS)
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_domain(), MIX_WEIGHTS, default_tokenizer())
 
 
 def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
+from dataclasses import dataclass
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.llm.bpe import encoder
 from textloom.llm.runtime import stored
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -134,75 +137,98 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc
     return fit(sorted(priors), [(r.domain, r.found) for r in some.collect()], chosen)
 
 
-def with_posteriors(docs: DataFrame, model: PosteriorModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (id, tokens, p): words of `[^\\x20\\x09-\\x0D]+` as tokens, posteriors in the order of model.domains."""
+def with_posteriors(docs: DataFrame, model: PosteriorModel, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return (id, tokens, p): the tokenizer's ids of the whole text, posteriors in the order of model.domains."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
+        own = encoder(tokenizer)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            out = [pa.array([len(t.encode().split()) for t in texts], pa.int64()), pa.array([model.posteriors(t) for t in texts], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["id", "tokens", "p"])
+            posteriors = [model.posteriors(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.counts(batch.column(1))), pa.array(posteriors, pa.list_(pa.float64()))], names=["id", "tokens", "p"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens long, p array<double>")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, tokens long, p array<double>")
 
 
-def fit_steps(scored: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-6) -> list[list[float]]:
-    """Steps g of projected gradient, from rates 1: r <- max(0, r - p . g) for each of them in turn.
+@dataclass(frozen=True)
+class Fit:
+    """Rates of `rows` (those of the written table, and r), and how near they come to the targets."""
+
+    rows: DataFrame
+    totals: list[float]
+    #: The largest miss of a target, by the sum of targets.
+    residual: float
+    #: Whether the targets are met, or no step comes nearer (then they cannot all be met).
+    converged: bool
+    rounds: int
+
+
+def fit_rates(scored: DataFrame, targets: list[float], p: Column, rounds: int = 40, tolerance: float = 1e-6, keep: int = 8) -> Fit:
+    """Nonnegative rates r for rows (tokens, and posteriors `p`) by projected gradient, from rates 1: r <- max(0, r - p . g).
 
     Minimises half the squared distance of totals to `targets`, in the metric of the
-    totals' own Gram matrix, over rates weighted by tokens; a step halves while it does
-    not come nearer.  A document's rate follows from the steps and its own posteriors.
+    totals' own Gram matrix, over rates weighted by tokens; a step is scaled by the Gram
+    matrix of the rows whose rate is above 0, and halves while it does not come nearer.  One short vector a round passes the driver.  Rates are written every
+    `keep` steps, so that a round's work does not grow with the rounds before.
     """
     import numpy as np
 
     k = len(targets)
     goal = np.array(targets)
-    gram_cols = [F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
-    row = scored.agg(*gram_cols).first()
+    rows = scored.withColumn("r", F.lit(1.0))
+    row = scored.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
     gram = np.array([0.0 if x is None else x for x in row]).reshape(k, k)
     if not gram.any():
-        return []
+        return Fit(rows, [0.0] * k, 0.0 if not goal.any() else 1.0, not goal.any(), 0)
     inverse = np.linalg.pinv(gram + np.eye(k) * 1e-9 * np.trace(gram))
 
-    def totals(steps):
-        r = rate(F.col("p"), steps)
-        got = scored.agg(*[F.sum(r * F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()
-        return np.array([float(x) for x in got])
+    def look(steps):
+        """How far totals are off, and the inverse Gram matrix of rows with a rate above 0: only those can still give way."""
+        r = rate(F.col("r"), p, steps)
+        pairs = [F.sum(F.when(r > 0, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)]
+        got = rows.agg(*[F.sum(r * F.col("tokens") * p[i]) for i in range(k)], *pairs).first()
+        live = np.array(got[k:], float).reshape(k, k)
+        return np.array(got[:k], float) - goal, np.linalg.pinv(live + np.eye(k) * 1e-9 * np.trace(gram))
 
     steps: list[list[float]] = []
-    off = totals(steps) - goal
+    off, metric = look(steps)
     distance, size = off @ inverse @ off, 1.0
     scale = max(1.0, float(np.abs(goal).sum()))
-    for _ in range(rounds):
+    done, used = False, 0
+    for used in range(1, rounds + 1):
         if np.abs(off).max() <= tolerance * scale:
+            done = True
             break
-        step = (size * (inverse @ off)).tolist()
-        new = totals([*steps, step]) - goal
+        step = (size * (metric @ off)).tolist()
+        new, other = look([*steps, step])
         nearer = new @ inverse @ new
         if nearer < distance:
             gain = (distance - nearer) / distance
-            steps, off, distance = [*steps, step], new, nearer
-            if gain < 1e-7:
+            steps, off, metric, distance, size = [*steps, step], new, other, nearer, min(1.0, 2 * size)
+            if len(steps) == keep:
+                rows, steps = stored(rows.withColumn("r", rate(F.col("r"), p, steps)), "rates"), []
+            if gain < 1e-9:
+                done = True
                 break
         else:
             size /= 2
-            if size < 1e-3:
+            if size < 1e-6:
+                done = True
                 break
-    return steps
+    return Fit(rows.withColumn("r", rate(F.col("r"), p, steps)), (off + goal).tolist(), float(np.abs(off).max() / scale), done or bool(np.abs(off).max() <= tolerance * scale), used)
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after `steps`."""
-    out = F.lit(1.0)
+def rate(r: Column, p: Column, steps: list[list[float]]) -> Column:
+    """A document's rate after `steps` from `r`."""
+    out = r
     for g in steps:
         out = F.greatest(F.lit(0.0), out - sum((p[i] * x for i, x in enumerate(g)), F.lit(0.0)))
     return out
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], total_tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 6_000, rounds: int = 40, labelled: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], tokenizer: str, total_tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 6_000, rounds: int = 40, labelled: DataFrame | None = None) -> DataFrame:
     """Return (id, tokens, rate, p_<domain>...): how often to take each document.
 
     `weights` are shares of tokens by domain, among those of weighted domains; a domain
@@ -214,22 +240,26 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
     A null text has no tokens and does not change totals; its rate follows from its
     posteriors.  Rows with null or repeated ids each have a rate.  Other columns are not
     carried.  An empty table gives an empty result.  Without labelled documents of a
-    weighted domain there is nothing to match, and all rates are 1.
+    weighted domain there is nothing to match, and all rates are 1.  A fit that ends
+    before its rates settle is warned of.
     """
     model = train(docs if labelled is None else labelled, labels, domain, id_col, text_col, max_labels)
-    scored = stored(with_posteriors(docs, model, id_col, text_col), "posteriors")
+    scored = stored(with_posteriors(docs, model, tokenizer, id_col, text_col), "posteriors")
     at = [i for i, d in enumerate(model.domains) if d in weights]
     told = sum(weights[model.domains[i]] for i in at)
-    steps, aimed = [], F.array(*[F.col("p")[i] for i in at])
+    rows = scored.withColumn("r", F.lit(1.0))
     if told:
+        aimed = F.array(*[F.col("p")[i] for i in at])
         share = [weights[model.domains[i]] / told for i in at]
-        own = scored.select("tokens", aimed.alias("p"))
         if total_tokens is None:
             k = share.index(max(share))
-            total_tokens = (own.agg(F.sum(F.col("tokens") * F.col("p")[k])).first()[0] or 0.0) / share[k]
-        steps = fit_steps(own, [s * total_tokens for s in share], rounds)
+            total_tokens = (scored.agg(F.sum(F.col("tokens") * aimed[k])).first()[0] or 0.0) / share[k]
+        found = fit_rates(scored, [s * total_tokens for s in share], aimed, rounds)
+        rows = found.rows
+        if not found.converged:
+            warnings.warn(f"the mix has not settled after {found.rounds} rounds: a target is missed by {found.residual:.2%} of all tokens", stacklevel=2)
     names = [re.sub(r"\W", "_", d) for d in model.domains]
-    return scored.select(F.col("id").alias(id_col), "tokens", rate(aimed, steps).alias("rate"), *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)])
+    return rows.select(F.col("id").alias(id_col), "tokens", F.col("r").alias("rate"), *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)])
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -238,8 +268,16 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + unit).cast("int")
 
 
-def apply_mix(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Repeat each row of `docs` as often as its rate in `rates` (id, rate) says; a row without one goes."""
-    n = rates.groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("rate").alias("_rate"))
-    times = docs.join(n, docs[id_col] == n["_mix_id"]).withColumn("_n", copies(F.col("_rate"), F.col("_mix_id"))).filter("_n > 0")
-    return times.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def apply_mix(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Repeat each row of `docs` as often as its rate in `rates` (id, rate) says; a row whose id has no rate goes.
+
+    Rows that share an id, and their rates, cannot be told apart: all take the mean of
+    those rates, so totals stay as they are on average; rows with a null id likewise share
+    the mean rate of null ids.  All columns come back as they are, whatever their names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    each = stored(rates.groupBy(F.col(f"`{id_col}`").alias("of")).agg(F.avg("rate").alias("rate")), "mean-rates")
+    # Rows draw by id and text, so those that share an id draw apart unless they are equal.
+    key = F.struct("id", F.col(f"row.`{text_col}`")) if text_col in docs.columns else F.col("id")
+    times = rows.join(each, F.col("id").eqNullSafe(F.col("of"))).withColumn("n", copies(F.col("rate"), key)).filter("n > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")

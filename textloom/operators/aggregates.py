@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def rarity(tokens: DataFrame, token: str, unit: str) -> DataFrame:
-    """(token, units, idf): idf = ln(1 + N / units that hold the token), N all units."""
-    total = tokens.select(unit).distinct().agg(F.count("*").alias("_n"))
-    held = tokens.select(token, unit).distinct().groupBy(token).agg(F.count("*").alias("units"))
-    return held.crossJoin(F.broadcast(total)).select(token, "units", F.log1p(F.col("_n") / F.col("units")).alias("idf"))  # one row is broadcast
+def rarity(tokens: DataFrame, token: str) -> DataFrame:
+    """(token, postings, idf): idf = ln(1 + N / occurrences of the token), N all tokens.  A token nowhere in them would have ln(1 + N)."""
+    held = tokens.groupBy(token).agg(F.count("*").alias("postings"))
+    total = tokens.agg(F.count("*").alias("_n"))
+    return held.crossJoin(F.broadcast(total)).select(token, "postings", F.log1p(F.col("_n") / F.col("postings")).alias("idf"))  # one row is broadcast
 
 
 def bucket_votes(hits: DataFrame, by: list[str], bucket: str, voter: str, weight: str) -> DataFrame:

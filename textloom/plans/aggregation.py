@@ -17,9 +17,9 @@ def words_of(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
 
 
-@plans.add(f"WITH {WORDS}, d AS (SELECT word, count(DISTINCT doc_id) AS units FROM words GROUP BY 1), t AS (SELECT count(DISTINCT doc_id) AS n FROM words) SELECT word, units, round(ln(1 + n / units), 9) AS idf FROM d, t WHERE units >= 5")
+@plans.add(f"WITH {WORDS}, d AS (SELECT word, count(*) AS postings FROM words GROUP BY 1) SELECT word, postings, round(ln(1 + (SELECT count(*) FROM words) / postings), 9) AS idf FROM d")
 def a1_word_rarity(spark, sf):
-    return aggregates.rarity(words_of(spark, sf), "word", "doc_id").filter("units >= 5").select("word", "units", F.round("idf", 9).alias("idf"))
+    return aggregates.rarity(words_of(spark, sf), "word").select("word", "postings", F.round("idf", 9).alias("idf"))
 
 
 @plans.add("""

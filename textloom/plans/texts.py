@@ -24,9 +24,10 @@ def t13_token_counts(spark, sf):
     return _lines(spark, sf).select("doc_id", "n", F.size(T.tokens(F.col("line"))).cast("long").alias("words"))
 
 
-@plans.add()
-def t9_skeleton(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.sha2(T.skeleton(F.col("text")), 256).alias("skeleton_sha"))
+@plans.add("SELECT doc_id, sha256(array_to_string(list_transform(string_split(regexp_replace(lower(text), '[aeiouاء]', '', 'g'), chr(10)), lambda l: CASE WHEN l = '' THEN '' ELSE list_reduce(list_prepend('', string_split(l, '')), lambda s, c: CASE WHEN right(s, 1) = c THEN s ELSE s || c END) END), chr(10))) AS skeleton_sha FROM documents")
+def t9_latin_skeleton(spark, sf):
+    lines = F.transform(F.split("text", "\n", -1), lambda x: T.skeleton(x))
+    return read(spark, sf, "documents").select("doc_id", F.sha2(F.array_join(lines, "\n"), 256).alias("skeleton_sha"))
 
 
 @plans.add(r"SELECT doc_id, length(regexp_replace(text, '[A-Za-z ,.\n]', '', 'g')) AS outside FROM documents")

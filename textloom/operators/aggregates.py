@@ -41,29 +41,36 @@ def spread(groups: DataFrame, rate: str) -> DataFrame:
     return groups.agg(F.avg(rate).alias("macro"), F.max(rate).alias("worst"), F.min(rate).alias("best"), (F.max(rate) - F.min(rate)).alias("gap"), F.count("*").alias("groups"))
 
 
-def cluster_bootstrap(groups: DataFrame, by: list[str], errors: str, words: str, replicates: int = 1_000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(by, groups, rate, low, high): a percentile interval of sum(errors) / sum(words) when groups are drawn anew.
+def resamples(groups: DataFrame, order: list[str], sums: list[str], repetitions: int = 500, seed: int = 42) -> DataFrame:
+    """(repetition, sums...): groups drawn with replacement, as many as there are, and their columns summed.
 
-    `groups` has one row for each group, however many rows it stands for.  Each
-    replicate draws as many groups as there are; the draws of a group are Poisson
-    weights from a hash of seed, replicate and group, so replicates are sums that Spark
-    spreads over tasks, and no set of groups is gathered anywhere.
+    Draw s of repetition r is the group whose number is the first eight hexadecimal digits
+    of MD5("seed:r:s") modulo their count; groups are numbered from 0 in `order`.  Groups
+    are sums already and few: numbering them passes one task.
     """
-    w = groups.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    key = F.xxhash64(F.lit(seed), F.col("_r"), *[F.col(c) for c in groups.columns])
-    u = F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
-    # Poisson(1) by its distribution function.
-    total, term, draws = 0.0, 2.718281828459045**-1, F.lit(0)
-    for k in range(1, 12):
-        total += term
-        draws = draws + (u >= total).cast("int")
-        term /= k
-    sums = w.withColumn("_d", draws).groupBy(*by, "_r").agg(F.sum(F.col("_d") * F.col(errors)).alias("e"), F.sum(F.col("_d") * F.col(words)).alias("n"))
+    numbered = groups.select(*sums, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("_k"))
+    size = groups.agg(F.count("*").alias("_n"))
+    draws = size.select("_n", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition")).filter("_n > 0").select("_n", "repetition", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_s"))
+    picked = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "repetition", "_s")), 1, 8), 16, 10).cast("long") % F.col("_n")
+    return draws.select("repetition", picked.alias("_k")).join(numbered, "_k").groupBy("repetition").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def cluster_bootstrap(groups: DataFrame, order: list[str], errors: str, words: str, repetitions: int = 500, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """One row (groups, rate, low, high): the ratio of sums, and its percentile interval over resampled groups; null bounds for fewer than two."""
     tail = (1 - level) / 2
-    rates = sums.groupBy(*by).agg(F.percentile(F.col("e") / F.nullif(F.col("n"), F.lit(0)), [tail, 1 - tail]).alias("_q"))
-    plain = groups.groupBy(*by).agg(F.count("*").alias("groups"), (F.sum(errors) / F.nullif(F.sum(words), F.lit(0))).alias("rate"))
-    joined = plain.join(rates, by) if by else plain.crossJoin(rates)  # one row each
-    return joined.select(*by, "groups", "rate", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    drawn = resamples(groups, order, [errors, words], repetitions, seed).agg(F.percentile(F.col(errors) / F.greatest(F.lit(1), F.col(words)), [tail, 1 - tail]).alias("_q"))
+    plain = groups.agg(F.count("*").alias("groups"), (F.sum(errors) / F.nullif(F.sum(words), F.lit(0))).alias("rate"))
+    bound = lambda i: F.when(F.col("groups") >= 2, F.col("_q")[i])
+    return plain.crossJoin(drawn).select("groups", "rate", bound(0).alias("low"), bound(1).alias("high"))  # one row each
+
+
+def paired_bootstrap(groups: DataFrame, order: list[str], baseline: str, candidate: str, words: str, repetitions: int = 500, seed: int = 42) -> DataFrame:
+    """One row (groups, difference, low, high): rate of candidate less that of baseline, and its interval over resampled groups."""
+    drawn = resamples(groups, order, [baseline, candidate, words], repetitions, seed)
+    drawn = drawn.agg(F.percentile((F.col(candidate) - F.col(baseline)) / F.greatest(F.lit(1), F.col(words)), [0.025, 0.975]).alias("_q"))
+    plain = groups.agg(F.count("*").alias("groups"), paired_difference(groups, baseline, candidate, words).alias("difference"))
+    bound = lambda i: F.when(F.col("groups") >= 2, F.col("_q")[i])
+    return plain.crossJoin(drawn).select("groups", "difference", bound(0).alias("low"), bound(1).alias("high"))  # one row each
 
 
 def paired_difference(pairs: DataFrame, errors_a: str, errors_b: str, words: str) -> Column:

@@ -63,10 +63,29 @@ def a5_overlapping_strata(spark, sf):
     return _rated(_counts(spark, sf).withColumn("stratum", F.explode(strata)).groupBy("stratum").agg(*aggregates.error_rates()))
 
 
-@plans.add()
+def drawn_sql(groups: str, order: str, columns: str, repetitions: int = 500, seed: int = 42) -> str:
+    """Common tables of a bootstrap: groups numbered, draws by MD5, sums of each repetition in `drawn`."""
+    sums = ", ".join(f"sum({c}) AS {c}" for c in columns.split(", "))
+    return f"""numbered AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS k, {columns} FROM {groups}), size AS (SELECT count(*) AS n FROM {groups}),
+draws AS (SELECT repetition, ('0x' || substr(md5('{seed}:' || repetition || ':' || s), 1, 8))::BIGINT % n AS k FROM (SELECT n, repetition, unnest(range(1, n + 1)) AS s FROM (SELECT n, unnest(range(1, {repetitions} + 1)) AS repetition FROM size))),
+drawn AS (SELECT repetition, {sums} FROM draws JOIN numbered USING (k) GROUP BY 1)"""
+
+
+@plans.add(f"""WITH {COUNTS}, g AS (SELECT l_suppkey, sum(substitutions + deletions + insertions) AS errors, sum(ref_words) AS words FROM c GROUP BY 1), {drawn_sql("g", "l_suppkey", "errors, words")}
+SELECT (SELECT count(*) FROM g) AS groups, round((SELECT sum(errors) / sum(words) FROM g), 9) AS rate, round(quantile_cont(errors / words, 0.025), 9) AS low, round(quantile_cont(errors / words, 0.975), 9) AS high FROM drawn""")
 def a6_cluster_bootstrap(spark, sf):
     groups = _counts(spark, sf).groupBy("l_suppkey").agg(F.sum(F.expr("substitutions + deletions + insertions")).alias("errors"), F.sum("ref_words").alias("words"))
-    return aggregates.cluster_bootstrap(groups, [], "errors", "words")
+    out = aggregates.cluster_bootstrap(groups, ["l_suppkey"], "errors", "words")
+    return out.select("groups", *[F.round(c, 9).alias(c) for c in ("rate", "low", "high")])
+
+
+@plans.add(f"""WITH {COUNTS}, g AS (SELECT l_suppkey, sum(substitutions + deletions + insertions) AS old, sum(substitutions + insertions) AS new, sum(ref_words) AS words FROM c GROUP BY 1), {drawn_sql("g", "l_suppkey", "old, new, words")}
+SELECT (SELECT count(*) FROM g) AS groups, round((SELECT (sum(new) - sum(old)) / sum(words) FROM g), 9) AS difference, round(quantile_cont((new - old) / words, 0.025), 9) AS low, round(quantile_cont((new - old) / words, 0.975), 9) AS high FROM drawn""")
+def a7_paired_bootstrap(spark, sf):
+    sums = {"old": "substitutions + deletions + insertions", "new": "substitutions + insertions", "words": "ref_words"}
+    groups = _counts(spark, sf).groupBy("l_suppkey").agg(*[F.sum(F.expr(x)).alias(n) for n, x in sums.items()])
+    out = aggregates.paired_bootstrap(groups, ["l_suppkey"], "old", "new", "words")
+    return out.select("groups", *[F.round(c, 9).alias(c) for c in ("difference", "low", "high")])
 
 
 @plans.add(f"WITH {COUNTS} SELECT l_suppkey, round(sum(least(ref_words, substitutions + deletions + insertions)) / sum(ref_words), 9) AS capped FROM c GROUP BY 1")

@@ -75,3 +75,25 @@ def duration_likeness(a: Column, b: Column) -> Column:
 
 def half_even(x: Column, places: int = 0) -> Column:
     return F.bround(x, places)
+
+
+def round_even(x: Column) -> Column:
+    """To a whole number as a double, half to even."""
+    return F.rint(x)
+
+
+def round_up(x: Column) -> Column:
+    """To a whole number, half upwards (also below zero)."""
+    return F.floor(x + 0.5).cast("double")
+
+
+def frame_rms(a: Column, frame: int) -> Column:
+    """Root mean square of each whole frame of `frame` samples."""
+    n = F.floor(F.size(a) / frame).cast("int")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: rms(F.slice(a, i * frame + 1, F.lit(frame))))
+
+
+def is_silent(a: Column, frame: int, limit: float) -> Column:
+    """Whether no frame is as loud as `limit`; nothing at all is silent."""
+    return F.coalesce(F.array_max(frame_rms(a, frame)) < limit, F.lit(True))

@@ -117,10 +117,9 @@ def t10_letter_skeletons(spark, sf):
     return _words(spark, sf).select("word", A.coarse(F.col("word")).alias("coarse"), A.bare_letters(F.col("word")).alias("bare"))
 
 
-@plans.add("SELECT doc_id, sha256(replace(strip_accents(text), 'ـ', '')) AS form FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7FÀ-ſ]')")
+@plans.add("SELECT doc_id, sha256(replace(strip_accents(text), 'ـ', '')) AS form FROM documents")
 def t11_word_key(spark, sf):
-    d = read(spark, sf, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7FÀ-ſ]"))
-    return d.select("doc_id", F.sha2(A.word_key(F.col("text")), 256).alias("form"))
+    return read(spark, sf, "documents").select("doc_id", F.sha2(A.word_key(F.col("text")), 256).alias("form"))
 
 
 RECITAL = sql_chain("t", ("[ً-ْٰ]", ""), ("[ۖ-ۭ]", ""), ("[إأآٱ]", "ا"), ("ئ", "ي"), ("ؤ", "و"), (r"[^\p{L}\p{M}\p{N}_\s]", ""), *END)
@@ -131,11 +130,11 @@ def t27_recital_form(spark, sf):
     return _spelled(spark, sf).select("doc_id", F.sha2(A.recital_form(F.col("t")), 256).alias("form"))
 
 
-@plans.add(f"""WITH RECURSIVE {WORDS}, s AS (SELECT word FROM w WHERE length(word) <= 12 AND length(regexp_replace(word, '[^ا]', '', 'g')) <= 4),
+@plans.add(f"""WITH RECURSIVE {WORDS}, s AS (SELECT word FROM w WHERE length(regexp_replace(word, '[^ا]', '', 'g')) <= 4),
 r AS (SELECT word, 0 AS i, '' AS form FROM s UNION ALL SELECT word, i + 1, form || c FROM (SELECT word, i, form, unnest(CASE WHEN substr(word, i + 1, 1) = 'ا' THEN ['ا', 'أ', 'إ', 'آ'] ELSE [substr(word, i + 1, 1)] END) AS c FROM r WHERE i < length(word)))
 SELECT word, form FROM r WHERE i = length(word)""")
 def t28_alif_forms(spark, sf):
-    w = _words(spark, sf).filter("char_length(word) <= 12 and char_length(regexp_replace(word, '[^ا]', '')) <= 4")
+    w = _words(spark, sf).filter("char_length(regexp_replace(word, '[^ا]', '')) <= 4")
     return w.select("word", F.explode(A.alif_forms(F.col("word"))).alias("form"))
 
 

@@ -99,12 +99,12 @@ def u4_ch4_pools(spark, sf):
     return R.pooled([p.filter("p_size > 40"), p.filter("p_size > 20"), p], "p_partkey", F.col("p_size"), ["p_brand"], 5).select("p_brand", "p_partkey", "pool", "rank")
 
 
-@plans.add("""WITH a AS (SELECT o_orderkey, o_orderstatus AS l FROM orders WHERE o_orderkey % 11 > 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS r FROM orders WHERE o_orderkey % 17 > 0)
+@plans.add("""WITH a AS (SELECT o_orderkey, o_orderstatus AS l FROM orders WHERE o_totalprice > 50000), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS r FROM orders WHERE o_totalprice < 400000)
 SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, l AS "left", r AS "right" FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE l IS DISTINCT FROM r""")
 def u7_inventory_difference(spark, sf):
-    o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    b = o.filter("o_orderkey % 17 > 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 13 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return R.inventory_difference(o.filter("o_orderkey % 11 > 0"), b, "o_orderkey", "o_orderstatus")
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    b = o.filter("o_totalprice < 400000").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 13 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return R.inventory_difference(o.filter("o_totalprice > 50000"), b, "o_orderkey", "o_orderstatus")
 
 
 @plans.add("""WITH s AS (SELECT o_custkey, o_orderdate, o_orderkey, o_orderkey % 3 AS source FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, source DESC, o_orderkey DESC) AS n FROM s)

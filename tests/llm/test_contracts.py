@@ -3,6 +3,8 @@
 import pytest
 from brute import ids, op1, op2, op3, op4, op5, op6_pieces, op7, op9, op10
 
+from pyspark.sql import functions as F
+
 from textloom.llm import binary_ids, line_dedup, merkle, packing, quality, queries, simhash, substring_dedup, token_counts, warc
 from textloom.llm.runtime import default_tokenizer, scratch
 
@@ -129,6 +131,22 @@ def test_substring_dedup(docs, rows):
     assert got(out, "doc_id", "n_words", "n_removed", "kept") == op5(rows)
 
 
+def test_maximal_repeats(docs, rows):
+    words = {d: (t or "").encode().split() for d, t in rows}
+    seen, last = {}, None
+    for r in substring_dedup.maximal_repeats(docs).orderBy("id", "source_id", F.col("source_start") - F.col("start"), "start").collect():
+        n = r.end - r.start
+        assert n >= 20 and (r.source_id, r.source_start) < (r.id, r.start)
+        assert words[r.id][r.start : r.end] == words[r.source_id][r.source_start : r.source_start + n]
+        key = (r.id, r.source_id, r.source_start - r.start)
+        assert last is None or last[0] != key or last[1] < r.start  # neighbours have become one
+        last = (key, r.end)
+        seen.setdefault(r.id, set()).update(range(r.start, r.end))
+    assert {d: len(x) for d, x in seen.items()} == {d: gone for d, _, gone, _ in op5(rows) if gone}
+    with pytest.raises(ValueError):
+        substring_dedup.matches(docs, size=5_000)
+
+
 def test_packing(docs, rows):
     out = packing.pack_documents(docs, default_tokenizer())
     assert got(out, "doc_id", "piece", "start", "length", "ids_crc32") == op6_pieces(rows)

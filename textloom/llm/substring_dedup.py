@@ -2,23 +2,27 @@
 
 A window of `size` words picks as its anchor the five-word sequence in it with the
 smallest hash (winnowing), so equal windows pick equal anchors at equal places.  Seeds
-are anchors that occur at least twice.  An anchor occurrence speaks for all windows that
-picked it; their words are its context, the reach of its extension to both sides.
-
-Occurrences of one anchor with equal contexts match over the whole reach: they form a
-class, of which all but the first occurrence go.  Where an anchor has several classes,
-one representative of each is extended word by word: its windows are hashed and compared
-with those of the other classes.  So no pairs are listed within a group of copies, and
-neighbouring reaches join to maximal repeats.
+are anchors that occur at least twice; they join the documents that hold them.  A seed is
+extended to both sides over the words of all windows that picked it: its reach.
+
+Occurrences of one anchor whose reaches are equal match over all of it: they form a
+class, and each is matched with the class's first occurrence.  Where an anchor has several
+classes, their first occurrences are extended step by step instead: window for window to
+the left and right of the anchor, each matched with the first occurrence of the same
+window.  So every match is with an earlier place, and no pairs are listed within a group
+of copies.  Matches of one document with one other on one diagonal that meet or overlap
+are one maximal repeat.  Equality is that of 64-bit hashes of word sequences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from textloom.llm.runtime import stored
 
 ANCHOR_WORDS = 5
+#: A seed's row holds its windows, and the words before it, in 12 bits each.
+MOST_WORDS = 2_000
 #: Low bits of an anchor's rank that hold its place, so that of equal hashes the leftmost wins.
 PLACE = (1 << 28) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -180,25 +184,28 @@ def _removal(kind: str):
     return run, f"id {kind}, n_words long, n_removed long, kept_text string"
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
-    """Return (id, start, end): word ranges whose every window of `size` words starts earlier in the corpus.
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
+    """Return (id, start, end, source_id, source_start): word ranges that are found earlier in the corpus, at the source.
 
-    Their union over a document is all that repeats.
+    Every window of `size` words that starts earlier as well lies in one of them.
     """
+    if not 0 < size <= MOST_WORDS:
+        raise ValueError(f"windows have 1 to {MOST_WORDS} words, not {size}")
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    seeds = base.mapInArrow(*_seeds(size, kind))
-    again = seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    seeds = stored(seeds.join(again, "anchor"), "seeds")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null")
+    found = base.mapInArrow(*_seeds(size, kind))
+    # What is joined with is written first: a join of plain shuffles is one that Spark splits where very many rows share an anchor.
+    again = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
+    seeds = stored(found.join(again, "anchor"), "seeds")
 
     place = F.shiftright("spot", 24)
     key = ["anchor", "reach", "lead"]  # lead: places of the anchor in its reach, and how many windows
     seeds = seeds.select("id", "anchor", "reach", F.col("spot").bitwiseAND((1 << 24) - 1).alias("lead"), place.alias("place"))
     classes = stored(seeds.groupBy(*key).agg(F.min(F.struct("id", "place")).alias("first")), "classes")
-    start = F.col("place") - F.shiftright("lead", 12)
+    before = F.shiftright("lead", 12)
     windows = F.col("lead").bitwiseAND(4095)
     copies = seeds.join(classes, key).filter("not (id = first.id and place = first.place)")
-    whole = copies.select("id", start.alias("start"), (start + windows - 1 + size).alias("end"))
+    whole = copies.select("id", (F.col("place") - before).alias("start"), (F.col("place") - before + windows - 1 + size).alias("end"), F.col("first.id").alias("source_id"), (F.col("first.place") - before).alias("source_start"))
 
     several = classes.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     heads = classes.join(several, "anchor").select(F.col("first.id").alias("id"), F.struct(F.col("first.place").alias("place"), "anchor").alias("spot"))
@@ -207,8 +214,19 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extended = stored(texts.join(heads, "id").select("id", "blob", "spots").mapInArrow(*_windows(size, kind)), "windows")
     window = ["anchor", "window", "back"]
     first = extended.groupBy(*window).agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = extended.join(first, window).filter("not (id = first.id and start = first.start)")
-    return whole.unionByName(later.select("id", "start", (F.col("start") + size).alias("end")))
+    later = extended.join(stored(first, "first-windows"), window).filter("not (id = first.id and start = first.start)")
+    return whole.unionByName(later.select("id", "start", (F.col("start") + size).alias("end"), F.col("first.id").alias("source_id"), F.col("first.start").alias("source_start")))
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
+    """Return (id, start, end, source_id, source_start): matches that meet or overlap on one diagonal, as one repeat of at least `size` words."""
+    found = matches(docs, id_col, text_col, size).repartition("id")
+    diagonal = ["id", "source_id", "shift"]
+    w = Window.partitionBy(*diagonal).orderBy("start", "end")
+    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("shift", F.col("source_start") - F.col("start")).withColumn("begins", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    islands = marked.withColumn("island", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*diagonal, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("id", "start", "end", "source_id", (F.col("start") + F.col("shift")).alias("source_start"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
@@ -223,8 +241,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are not carried.  An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    ranges = repeated_ranges(docs, id_col, text_col, size)
-    ranges = ranges.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack, f"id {kind}, blob binary")
+    ranges = maximal_repeats(docs, id_col, text_col, size).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_pack, f"id {kind}, blob binary")
     out = texts.join(ranges, "id", "left").select("id", "blob", "ranges").mapInArrow(*_removal(kind))
     return out.withColumnRenamed("id", id_col)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import aggregation, arabic, audits, governance, lessons, measures, records, relational, streams, texts
+from textloom.plans import aggregation, arabic, audits, governance, lessons, letters, measures, records, relational, streams, texts
 from textloom.plans.base import Plan
 
-MODULES = (relational, aggregation, texts, arabic, measures, records, audits, lessons, governance, streams)
+MODULES = (relational, aggregation, texts, arabic, measures, records, audits, lessons, letters, governance, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

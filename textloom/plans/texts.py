@@ -120,7 +120,8 @@ def m7_hash_modulo(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", M.hash_modulo(F.col("c_custkey").cast("string"), 100).alias("bucket"))
 
 
-@plans.add()
+@plans.add("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_transform(range(1, 5), lambda p: contains(array_to_string(list_transform(range(p + 1, len(w) + 1), lambda i: (w[i] = w[i - p])::INT), ''), repeat('1', (7 * p)::BIGINT))) AS x FROM w) SELECT doc_id, list_contains(x, true) AS loops FROM s""")
 def m10_repeated_cycle(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.has_cycle(T.tokens(F.col("text"))).alias("loops"))
 

@@ -57,7 +57,7 @@ def content_class(checks: DataFrame, canonical: DataFrame, group: str, number: s
 
 def override_issue(by: list[str], order: str, start: str, end: str, frames: Column, known: Column, bound: Column, reviewed: Column) -> Column:
     """Why a manual cut must be refused, or null: unknown, repeated, of another recording, out of range, overlapping, or not reviewed."""
-    w = Window.partitionBy(*by).orderBy(order, start)
+    w = Window.partitionBy(*by).orderBy(order, start, end)
     n = F.count("*").over(Window.partitionBy(*by, order))
     return (
         F.when(~F.coalesce(known, F.lit(False)), "unknown").when(n > 1, "repeated").when(~F.coalesce(bound, F.lit(False)), "other recording")

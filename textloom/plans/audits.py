@@ -36,7 +36,7 @@ def au2_content_classes(spark, sf):
 
 
 @plans.add("""WITH l AS (SELECT o_custkey AS rec, o_orderkey % 40 AS n, o_orderkey % 1000 AS a, o_orderkey % 1000 + o_orderkey % 300 AS b, o_orderkey AS id FROM orders),
-x AS (SELECT *, count(*) OVER (PARTITION BY rec, n) AS times, lag(b) OVER (PARTITION BY rec ORDER BY n, a) AS before FROM l)
+x AS (SELECT *, count(*) OVER (PARTITION BY rec, n) AS times, lag(b) OVER (PARTITION BY rec ORDER BY n, a, b) AS before FROM l)
 SELECT id, CASE WHEN NOT n < 38 THEN 'unknown' WHEN times > 1 THEN 'repeated' WHEN NOT id % 11 > 0 THEN 'other recording' WHEN NOT (a >= 0 AND a < b AND b <= 1200) THEN 'out of range' WHEN a < before THEN 'overlapping' WHEN NOT id % 7 > 0 THEN 'not reviewed' END AS issue FROM x""")
 def au7_override_issues(spark, sf):
     k = F.col("o_orderkey")

@@ -137,12 +137,12 @@ def r9_dedupe_structs(spark, sf):
     return g.select("l_orderkey", F.array_join(F.transform(R.dedupe_by(F.col("x"), "kind"), lambda x: F.concat_ws(":", x["kind"], x["l_linenumber"])), ",").alias("kept"))
 
 
-@plans.add("""WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag = lag(l_returnflag) OVER w THEN 0 ELSE 1 END AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag)),
+@plans.add("""WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag = lag(l_returnflag) OVER w THEN 0 ELSE 1 END AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag)),
 g AS (SELECT l_orderkey, l_linenumber, l_returnflag, sum(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING) AS run FROM s), m AS (SELECT l_orderkey, run, l_returnflag, string_agg(l_linenumber, '' ORDER BY l_linenumber) AS t FROM g GROUP BY ALL)
 SELECT l_orderkey, string_agg(t || l_returnflag, ' ' ORDER BY run) AS segments FROM m GROUP BY 1""")
 def r5_merged_segments(spark, sf):
     item = F.struct("l_linenumber", F.col("l_linenumber").cast("string").alias("t"), F.col("l_returnflag").alias("k"))
-    g = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    g = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(item)).alias("x"))
     return g.select("l_orderkey", F.array_join(F.transform(R.merge_equal(F.col("x"), "t", "k"), lambda x: F.concat(x["text"], x["key"])), " ").alias("segments"))
 
 

@@ -224,6 +224,14 @@ def test_apply_mix_keeps_columns_and_null_ids(spark):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
 
 
+def test_corpus_rules_keep_books_and_unspaced_scripts(spark):
+    book = " ".join(f"word{i}" for i in range(110_000))
+    chinese = " ".join("".join(chr(0x4E00 + (i * 37 + k * 11) % 5000) for k in range(30)) for i in range(60))
+    junk = " ".join("x" * 40 + str(i) for i in range(60))
+    df = spark.createDataFrame([(1, book), (2, chinese), (3, junk), (4, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in quality.drop_low_quality(df, quality.CORPUS_RULES).collect()) == [1, 2]
+
+
 CLASHING = ("id", "row", "text_", "n", "rate", "copy", "kept", "of", "version", "lines", "dropped", "n_lines", "n_dropped", "first", "gone", "node", "a", "b", "value", "root", "tokens", "p", "r", "bucket", "guest",
             "_id", "_of", "_gone", "_n", "_rate", "_stay", "_text", "_mix_id", "_label_id", "h", "fp", "digest", "content", "size", "blob", "gram", "group", "piece", "start", "length", "key", "pos", "line", "h1", "h2")
 

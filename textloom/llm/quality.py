@@ -111,6 +111,19 @@ WEB_RULES = (
 )
 
 
+def _unspaced(text: str) -> bool:
+    """Whether most characters are of scripts that do not part words by spaces (from U+0E00 to U+0EFF, and from U+2E80 on, letters of East Asia)."""
+    return 2 * sum("\u0e00" <= c <= "\u0eff" or "\u2e80" <= c <= "\u9fff" or c >= "\U00020000" for c in text) > len(text)
+
+
+#: Limits for a corpus of all scripts and lengths: books are no junk, and word lengths say something only where spaces part words.
+CORPUS_RULES = tuple(
+    Rule("word_length", lambda v: v.n_words > 0 and not 3 * v.n_words <= v.word_chars <= 10 * v.n_words and not _unspaced(v.text)) if r.name == "word_length" else r
+    for r in BASE_RULES + WEB_RULES
+    if r.name != "many_words"
+)
+
+
 def rule_figures(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = 2_000, seed: int = 7) -> dict[str, tuple[float, float]]:
     """{rule: (seconds a document, share rejected)} on a sample of at most `sample_rows` rows.
 
@@ -153,7 +166,8 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + WEB_
     """Return (id, kept, rejected_by) for each row, with `stats` also the base statistics and base_failed.
 
     rejected_by is the first rule of the cascade's order that rejects the text, null if
-    kept.  A null text has no words.  Rows with null or repeated ids each give a row.
+    kept; where several reject it, which is first follows from measured times and may
+    differ from run to run.  A null text has no words.  Rows with null or repeated ids each give a row.
     Other columns are not carried.  An empty table gives an empty result.
     """
     order = cascade_order(rules, rule_figures(docs, rules, text_col, sample_rows))

@@ -141,12 +141,10 @@ def public_fields(json: Column) -> Column:
 
 def next_kept(df: DataFrame, by: list[str], order: str, value: str, kept: Column) -> DataFrame:
     """Adds following and before: the nearest later and earlier value among rows that are kept."""
-    w = Window.partitionBy(*by).orderBy(order)
-    v = F.when(kept, F.col(value))
-    return df.withColumns({
-        "following": F.first(v, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-        "before": F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-    })
+    v, before = F.when(kept, F.col(value)), (Window.unboundedPreceding, -1)
+    nearest = lambda order: F.last(v, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(*before))
+    # Both frames grow from an end, so each costs one step a row.
+    return df.withColumns({"following": nearest(F.desc(order)), "before": nearest(F.asc(order))})
 
 
 def conflict_free(rows: DataFrame, key: list[str], label: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from textloom.functions import math as M, text as T
 from textloom.operators import alignment, retrieval, search
-from textloom.plans.base import Plans, read
+from textloom.plans.base import Plans, read, spread
 
 plans = Plans()
 
@@ -166,7 +166,7 @@ def al13_reading_verdicts(spark, sf):
 
 def _search_tables(spark, sf):
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-zà-ÿ]+"), F.lit(0))
-    return read(spark, sf, "documents").select("doc_id", words("text").alias("words")), read(spark, sf, "benchmark").select("item_id", words("text").alias("words"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words("text").alias("words")), read(spark, sf, "benchmark").select("item_id", words("text").alias("words"))
 
 
 @plans.add("""

@@ -165,6 +165,8 @@ def match_intervals(events: DataFrame, guesses: DataFrame, by: str, least: float
         import pandas as pd
 
         used, out = set(), []
+        if not len(left) or not len(right):  # a side without rows has no columns either
+            return pd.DataFrame(out, columns=[by, "event", "guess", "iou"])
         for g in right.sort_values("id").itertuples():
             best, most = None, least
             for e in left.sort_values("id").itertuples():

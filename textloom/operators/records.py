@@ -161,15 +161,15 @@ def match_intervals(events: DataFrame, guesses: DataFrame, by: str, least: float
     with the largest intersection over union of at least `least`, of equal ones the last
     id.  A group's intervals are those of one recording: few, and matched in one task.
     """
-    def run(left, right):
+    def run(frame):
         import pandas as pd
 
         used, out = set(), []
-        if not len(left) or not len(right):  # a side without rows has no columns either
-            return pd.DataFrame(out, columns=[by, "event", "guess", "iou"])
-        for g in right.sort_values("id").itertuples():
+        frame = frame.sort_values("id")
+        left, right = frame[~frame["guess"]], frame[frame["guess"]]
+        for g in right.itertuples():
             best, most = None, least
-            for e in left.sort_values("id").itertuples():
+            for e in left.itertuples():
                 if e.id in used or e.kind != g.kind:
                     continue
                 shared = max(0.0, min(e.end, g.end) - max(e.start, g.start))
@@ -181,6 +181,6 @@ def match_intervals(events: DataFrame, guesses: DataFrame, by: str, least: float
                 out.append((g.key, best, g.id, most))
         return pd.DataFrame(out, columns=[by, "event", "guess", "iou"])
 
-    x, y = (df.select(F.col(by).alias("key"), "id", "kind", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")) for df in (events, guesses))
+    x, y = (df.select(F.col(by).alias("key"), "id", "kind", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(side).alias("guess")) for side, df in ((False, events), (True, guesses)))
     kind = events.schema[by].dataType.simpleString()
-    return x.groupBy("key").cogroup(y.groupBy("key")).applyInPandas(run, f"`{by}` {kind}, event long, guess long, iou double")
+    return x.unionByName(y).groupBy("key").applyInPandas(run, f"`{by}` {kind}, event long, guess long, iou double")

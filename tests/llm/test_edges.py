@@ -193,7 +193,7 @@ def plain_rates(tokens, p, goal, rounds=2_000):
     return r
 
 
-@pytest.mark.parametrize("goal", [[3000.0, 900.0, 500.0], [5000.0, 1200.0, 250.0], [100.0, 100.0, 4000.0]])
+@pytest.mark.parametrize("goal", [[3000.0, 900.0, 500.0], [5000.0, 1200.0, 250.0], [100.0, 100.0, 4000.0], [9000.0, 10.0, 10.0]])
 def test_fit_is_plain_projected_gradient(spark, goal):
     import numpy as np
 
@@ -205,8 +205,11 @@ def test_fit_is_plain_projected_gradient(spark, goal):
     got = np.array([r.r for r in found.rows.orderBy("id").collect()])
     want = plain_rates(tokens, p, np.array(goal))
     assert found.converged and (got >= 0).all()
-    assert np.abs((got * tokens) @ p - (want * tokens) @ p).max() <= 1e-4 * sum(goal)
-    assert np.allclose((got * tokens) @ p, goal, rtol=1e-3, atol=1e-3 * sum(goal))
+    # All these targets can be met.  The plain steps are slow on lopsided ones; the fit is never behind them, and is where they end.
+    miss, plain = (np.abs((r * tokens) @ p - goal).max() / sum(goal) for r in (got, want))
+    assert miss <= 1e-5 and miss <= plain + 1e-6
+    if plain <= 1e-5:
+        assert np.allclose((got * tokens) @ p, (want * tokens) @ p, rtol=1e-4, atol=1e-4 * sum(goal))
 
 
 def test_fit_says_that_it_has_not_settled(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import binary_ids, line_dedup, merkle, mixing, packing, quality, simhash, substring_dedup, token_counts, warc
+from textloom.llm import binary_ids, filter_audit, line_dedup, merkle, mixing, packing, periodic_runs, quality, simhash, substring_dedup, token_counts, url_filters, warc
 from textloom.llm.runtime import default_tokenizer, scratch, table
 
 #: Shares of tokens that a mix aims at.
@@ -62,8 +62,44 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), labels)
+
+
+#: Rules of the query on pages: host, path, verdict.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth (by a hash of the id) repeats words from a place on; the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("words")
+    period = 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))
+    repeated = F.transform(F.sequence("a", n - 1), lambda i: F.element_at("words", (1 + F.col("a") + (i - F.col("a")) % period).cast("int")))
+    rows = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    return rows.select("doc_id", F.when(n > 0, F.concat_ws(" ", F.slice("words", 1, F.col("a")), repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start, -r.period)))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), (F.concat(r.period.cast("string"), F.lit("\n"))))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("b.col2"), F.col("b.length"), -F.col("b.col3")
+    return out.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
-    ops = (op1_token_counts, op2_warc_index_merge, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_best_fit_packing, op7_token_id_output, op8_target_mixing, op9_merkle_fingerprints, op10_simhash_near_dedup)
+    ops = (op1_token_counts, op2_warc_index_merge, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_best_fit_packing, op7_token_id_output, op8_target_mixing, op9_merkle_fingerprints, op10_simhash_near_dedup,
+           op11_filter_audit, op12_url_filters, op13_periodic_runs)
     return {f.__name__: f for f in ops}
 
 
@@ -150,5 +186,51 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), e AS (
+  SELECT text, min(doc_id) AS first_id FROM d GROUP BY text
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text))::INT
+         + 8 * regexp_matches(d.text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first_id, false)::INT AS mask
+  FROM d JOIN e ON d.text = e.text LEFT JOIN l ON d.doc_id = l.doc_id
+), g AS (
+  SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL
+), b AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT v.c || w.c || x.c || y.c || z.c AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+  FROM b v, b w, b x, b y, b z WHERE v.bit + w.bit + x.bit + y.bit + z.bit = 31 AND v.bit | w.bit | x.bit | y.bit | z.bit = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS earlier FROM o, (SELECT unnest(range(1, 6))::INT AS step)
+), r AS (
+  SELECT part, filter_order, step, any_value(s.bit) AS bit,
+         sum(n) FILTER (WHERE mask & (earlier | s.bit) = 0) AS kept, sum(n) FILTER (WHERE mask & s.bit > 0 AND mask & earlier = 0) AS removed,
+         sum(n) FILTER (WHERE mask & s.bit > 0 AND mask & earlier > 0) AS redundant, sum(n) FILTER (WHERE mask = s.bit) AS unique_fails,
+         sum(n) FILTER (WHERE mask & s.bit > 0 AND mask & earlier = 0 AND good) AS good_lost, sum(n) FILTER (WHERE mask & s.bit > 0 AND mask & earlier = 0 AND toxic) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM r
+"""
+
+OP12_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), l AS (
+  SELECT unnest(['com', 'example.com', 'www.example.com', 'net', 'net']) AS h, unnest(['/', '/en/', '/en/', '/es/', '/fr/']) AS p, unnest(['allow', 'block', 'allow', 'block', 'block']) AS v
+), f AS (
+  SELECT host AS fit_host, path AS fit_path, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM u) JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN f ON host = fit_host AND path = fit_path
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_index_merge": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+    return {"op2_warc_index_merge": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op11_filter_audit": OP11_SQL, "op12_url_filters": OP12_SQL}

@@ -37,7 +37,7 @@ def test_buffer_and_retention():
         b.append([4, 5])
     b.discard_before(2)
     b.append([4, 5])
-    assert b.read(2, 5) == [3, 4, 5] and b.end == 5
+    assert b.read(2, 5).tolist() == [3, 4, 5] and b.end == 5
     with pytest.raises(IndexError):
         b.read(1, 3)
     assert [stitch.kept_after(100, 60, 10, *f) for f in ((True, False, False), (False, False, False), (True, True, False), (True, False, True))] == [50, 100, 100, 100]

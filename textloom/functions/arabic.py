@@ -87,7 +87,7 @@ def coarse(word: Column) -> Column:
 
 def bare_letters(word: Column) -> Column:
     """Letters only, carriers of alif, yeh and waw folded."""
-    return F.translate(F.regexp_replace(word, r"[^ء-غف-يٱےۓ]", ""), "ٱآأإےۓئؤ", "ااااييي" "و")
+    return F.translate(F.regexp_replace(word, r"[^ء-غف-يٱےۓ]", ""), "ٱآأإےۓئؤ", "اااايييو")
 
 
 def display_form(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import arabic as A
-from textloom.plans.base import Plans, read
+from textloom.plans.base import Plans, read, spread
 
 plans = Plans()
 
@@ -16,7 +16,7 @@ WORDS = f"{SPELLED}, w AS (SELECT DISTINCT unnest(regexp_extract_all(t, '[ء-ٱ]
 
 
 def _spelled(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, SCRIPT).alias("t"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.translate(F.lower("text"), LATIN, SCRIPT).alias("t"))
 
 
 def _words(spark, sf):

@@ -30,6 +30,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files' parts than cores, dealt out: work that is heavy for its bytes then runs on all of them."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """A table of few parts for the cores there are, dealt out: work that is heavy for its bytes then runs on all of them.
+
+    A part of a file need not hold rows (a file of one row group has them all in one part),
+    so that parts count only where there are several a core; such a table is large, and left alone.
+    """
+    n = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < 2 * n else df

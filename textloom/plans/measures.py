@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window, functions as F, types as T
 
-from textloom.operators import alignment, measures
-from textloom.plans.base import Plans, read
+from textloom.operators import alignment, measures, spectral
+from textloom.plans.base import Plans, read, spread
 
 plans = Plans()
 
@@ -75,7 +77,7 @@ def _turns(spark, sf):
     """(conv_id, turn, ref, hyp): words of a turn, and of it with every fifth word gone, as what was heard."""
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " "), lambda w: w != "")
     heard = F.filter(F.transform(F.col("ref"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] + F.col("turn")) % 5 != 4)
-    return read(spark, sf, "conversations").select("conv_id", "turn", words.alias("ref")).withColumn("hyp", F.transform(heard, lambda x: x["w"]))
+    return spread(read(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", words.alias("ref")).withColumn("hyp", F.transform(heard, lambda x: x["w"]))
 
 
 TURNS = """t AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '') AS ref FROM conversations),
@@ -135,3 +137,19 @@ def al14_word_form(spark, sf):
     t = _turns(spark, sf).filter("size(ref) >= 10")
     ref = F.col("ref")
     return t.select("conv_id", "turn", measures.judge_form(F.col("hyp"), F.slice(ref, 2, 8), ref[0], F.array(F.concat(ref[1], F.lit("x")), ref[9])).alias("verdict"))
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def byte_sound(text: pd.Series) -> pd.Series:
+    """Bytes as samples between -0.5 and 0.5."""
+    return pd.Series([(np.frombuffer(b, np.uint8).astype(np.float32) - 128) / 256 for b in text])
+
+
+@plans.add()
+def sg5_sg6_sg7_text_sound(spark, sf):
+    """Every document's text as sound (its bytes are samples): cleaned, changed by a seed of its id, and its cepstra against those of all."""
+    sound = read(spark, sf, "documents").select("doc_id", byte_sound(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("s"))
+    parts = spread(sound).select("doc_id", F.size("s").alias("n"), spectral.cleaned_of("s").alias("c"), spectral.augmented_of()("s", F.col("doc_id")).alias("a"), spectral.cepstral_summary_of("s").alias("f"))
+    told = parts.select("doc_id", "n", "c.noise_frames", "c.reduced", F.size("c.samples").alias("n_cleaned"), F.size("a.samples").alias("n_changed"), F.size("a.steps").alias("steps"), "f")
+    scaled = spectral.standardised(told.select("doc_id", "f"), "f").select("doc_id", F.round(F.get("f", F.lit(0)), 6).alias("first_mean"))
+    return told.drop("f").join(scaled, "doc_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from textloom.functions import math as M, text as T
-from textloom.operators import alignment, retrieval, search
+from textloom.operators import alignment, retrieval, search, tries
 from textloom.plans.base import Plans, read, spread
 
 plans = Plans()
@@ -213,3 +213,33 @@ def a17_retrieval_measures(spark, sf):
     relevant = q.select(F.col("vec_id").alias("query"), "label").join(e.select(F.col("vec_id").alias("neighbour"), "label"), "label").filter("query <> neighbour").select("query", "neighbour")
     out = retrieval.ranking_measures(ranked, relevant)
     return out.select("queries", F.round("recall_at_k", 9).alias("recall_at_k"), F.round("mrr", 9).alias("mrr"))
+
+
+VOCABULARY = "v AS (SELECT DISTINCT lang, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS w FROM documents)"
+
+
+@plans.add(f"""
+WITH {VOCABULARY}, p AS (SELECT doc_id, lang, left(regexp_extract(text, '[^\\s]+'), 2) AS said FROM documents WHERE regexp_matches(text, '[^\\s]'))
+SELECT doc_id, count(DISTINCT CASE WHEN length(w) > length(said) THEN substr(w, length(said) + 1, 1) END) + CASE WHEN bool_or(w = said) THEN 2 ELSE 0 END AS n_next
+FROM p JOIN v ON v.lang = p.lang AND starts_with(w, said) GROUP BY doc_id""")
+def mi21_next_letters(spark, sf):
+    """How many letters may follow the first two of a document, if only words of its language may be said, each letter being a token."""
+    docs = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("scope"), T.tokens(F.col("text")).alias("w"))
+    codes = lambda w: F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    words = docs.select("scope", F.explode("w").alias("w")).distinct()
+    space = F.array(F.lit(32))
+    both = words.select("scope", codes(F.col("w")).alias("tokens"), F.lit(False).alias("follows")).union(words.select("scope", F.concat(space, codes(F.col("w"))), F.lit(True)))
+    said = docs.filter("size(w) > 0").select("doc_id", "scope", F.slice(codes(F.get("w", F.lit(0))), 1, 2).alias("sequence"))
+    return tries.allowed_next(said, tries.word_trees(both), 0).select("doc_id", F.size("next").cast("long").alias("n_next"))
+
+
+@plans.add("""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT vec_id, k, v[4 * k + 1 : 4 * k + 4] AS l, v[4 * k + (vec_id + k) % 4 + 1] AS x FROM e, (SELECT unnest(range(1, 4)) AS k))
+SELECT vec_id, round(sum(x - list_max(l) - ln(list_sum(list_transform(l, lambda y: exp(y - list_max(l)))))), 6) AS score FROM s GROUP BY vec_id""")
+def mi37_candidate_scores(spark, sf):
+    """Sixteen numbers of a vector as four steps of four tokens; the first step is not scored."""
+    v = F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double"))
+    logits = F.array(*[F.slice(v, 4 * k + 1, 4) for k in range(4)])
+    ids = F.array(*[F.pmod(F.col("vec_id") + k, F.lit(4)).cast("int") for k in range(4)])
+    return read(spark, sf, "embeddings").select("vec_id", F.round(tries.candidate_score(logits, ids, 1), 6).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.functions import arabic as A
+from textloom.functions import arabic as A, sounds
 from textloom.plans.base import Plans, read, spread
 
 plans = Plans()
@@ -149,3 +149,10 @@ def t29_shapes_and_syllables(spark, sf):
 @plans.add(f"""WITH {WORDS} SELECT word, trim(regexp_replace(regexp_replace(word, '[ؐ-ًؚ-ْٰۖ-ۭ]', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM w""")
 def t26_plain_words(spark, sf):
     return _words(spark, sf).select("word", F.trim(F.regexp_replace(F.regexp_replace("word", "[ؐ-ًؚ-ْٰۖ-ۭ]", ""), r"\s+", " ")).alias("plain"))
+
+
+@plans.add()
+def t25_letters_to_sounds(spark, sf):
+    """Documents, spelled in Arabic letters and marks, as Latin sounds, and what spelling does not settle."""
+    said = _spelled(spark, sf).select("doc_id", sounds.sounds_of("t").alias("s"))
+    return said.select("doc_id", F.size("s.words").alias("n_words"), F.sha2("s.text", 256).alias("said"), F.array_join("s.notes", ",").alias("notes"))

@@ -54,3 +54,11 @@ def test_relocation(spark, tmp_path):
     assert sorted((r.name, r.moved) for r in out) == [("x", True), ("y", True)]
     with pytest.raises(FileExistsError):
         files.relocate(spark, f"file://{tmp_path}/from", f"file://{tmp_path}/to")
+
+
+def test_folder_inventory(spark, tmp_path):
+    for name, size in (("a/x.wav", 3), ("a/y.wav", 5), ("a/z.txt", 7), ("b/c/w.wav", 11)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"." * size)
+    got = {r.folder.removeprefix(f"file:{tmp_path}/"): (r.files, r.bytes) for r in files.folder_inventory(spark, str(tmp_path), "*.wav").collect()}
+    assert got == {"a": (2, 8), "b/c": (1, 11)} and files.folder_inventory(spark, str(tmp_path), "*.none").count() == 0

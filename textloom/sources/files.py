@@ -118,3 +118,9 @@ def relocate(spark: SparkSession, source: str, target: str, pattern: str = "*")
             raise FileExistsError(str(to))
         jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), status.getPath(), b.getFileSystem(conf), to, False, conf)
     return before.join(hashes(target, "_after"), "name", "left").select("name", "sha256", F.col("sha256").eqNullSafe(F.col("_after")).alias("moved"))
+
+
+def folder_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(folder, files, bytes) of all files below `path` whose names fit `glob`; contents are not read.  A folder without such files gives no row."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")
+    return found.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

@@ -117,3 +117,22 @@ def mi2_insert_if_absent(spark, sf):
 SELECT coalesce(s_nationkey, -1) AS nation, CASE WHEN grouping(s_nationkey) = 1 THEN 'all' ELSE 'one' END AS level, count(*) AS suppliers FROM supplier GROUP BY ROLLUP (s_nationkey)""")
 def mi8_rollup_inventory(spark, sf):
     return read(spark, sf, "supplier").rollup("s_nationkey").agg(F.count("*").alias("suppliers"), F.when(F.grouping("s_nationkey") == 1, "all").otherwise("one").alias("level")).select(F.coalesce("s_nationkey", F.lit(-1)).alias("nation"), "level", "suppliers")
+
+
+@plans.add("""
+WITH d AS (SELECT doc_id, lang, -ln((('0x' || substr(sha256('5:' || doc_id), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0) / greatest(n_chars, 1) AS draw FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id) AS n FROM d) SELECT lang, doc_id FROM r WHERE n <= 20""")
+def sp7_sampled_ids(spark, sf):
+    """Which documents a weighted sample takes: its draws are hashes, so SQL takes the same."""
+    return topk.weighted_sample(read(spark, sf, "documents"), ["lang"], "doc_id", F.greatest(F.col("n_chars"), F.lit(1)), 20, "5").select("lang", "doc_id")
+
+
+@plans.add("""
+WITH r AS (SELECT l_partkey, sum(l_quantity) AS stored, sum(l_quantity + CASE WHEN l_partkey % 10 = 3 THEN 1e-6 ELSE 0 END) AS again FROM lineitem GROUP BY 1)
+SELECT l_partkey, abs(again - stored) <= 1e-12 AS verified FROM r""")
+def au9_metrics_that_moved(spark, sf):
+    """Stored sums against sums made again from rows of which some have changed a little since."""
+    rows = read(spark, sf, "lineitem")
+    moved = rows.withColumn("l_quantity", F.when(F.col("l_partkey") % 10 == 3, F.col("l_quantity") + 1e-6).otherwise(F.col("l_quantity")))
+    stored, again = (df.groupBy("l_partkey").agg(F.sum("l_quantity").alias(n)) for df, n in ((rows, "stored"), (moved, "again")))
+    return again.join(stored, "l_partkey", "left").select("l_partkey", F.coalesce(F.abs(F.col("again") - F.col("stored")) <= 1e-12, F.lit(False)).alias("verified"))

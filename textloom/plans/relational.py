@@ -85,6 +85,17 @@ def j5_paired_runs(spark, sf):
     return joins.paired(base, base.withColumn("o_totalprice", F.col("o_totalprice") * 2), ["o_orderkey"], ["o_totalprice"])
 
 
+@plans.add("""
+WITH a AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber < 9 GROUP BY 1)
+SELECT l_orderkey, a.n AS base_n, a.q AS base_q, b.n AS cand_n, b.q AS cand_q FROM a JOIN b USING (l_orderkey)""")
+def j5_two_counts_of_orders(spark, sf):
+    """Two ways to count orders' lines, paired where both have the order."""
+    line = read(spark, sf, "lineitem")
+    count = lambda df: df.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    base, cand = count(line.filter("l_returnflag <> 'R'")), count(line.filter("l_linenumber < 9"))
+    return joins.paired(base, cand.join(base.select("l_orderkey"), "l_orderkey", "left_semi"), ["l_orderkey"], ["n", "q"])
+
+
 @plans.add("""
 WITH a AS (SELECT l_suppkey, l_partkey, min(l_discount) AS v FROM lineitem GROUP BY ALL), b AS (SELECT l_partkey, min(l_discount) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
 q AS (SELECT p_partkey AS l_partkey, p_partkey % 50 AS l_suppkey FROM part)

@@ -15,11 +15,13 @@ _made: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which driver and executors share.
 
-    Only where the setting is absent (a single-machine session, as in tests) a
-    temporary folder is made and used instead.
+    Only where the setting is absent on a single machine, as in tests, a temporary
+    folder is made and used instead; on a cluster its absence is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", place)
         spark.sparkContext.setCheckpointDir(place)

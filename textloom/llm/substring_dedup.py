@@ -207,7 +207,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     copies = seeds.join(classes, key).filter("not (id = first.id and place = first.place)")
     whole = copies.select("id", (F.col("place") - before).alias("start"), (F.col("place") - before + windows - 1 + size).alias("end"), F.col("first.id").alias("source_id"), (F.col("first.place") - before).alias("source_start"))
 
-    several = classes.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    several = stored(classes.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "several")
     heads = classes.join(several, "anchor").select(F.col("first.id").alias("id"), F.struct(F.col("first.place").alias("place"), "anchor").alias("spot"))
     heads = heads.groupBy("id").agg(F.collect_list("spot").alias("spots"))
     texts = base.mapInArrow(_pack, f"id {kind}, blob binary")

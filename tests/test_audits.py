@@ -45,3 +45,14 @@ def test_approvals_that_must_fail(spark):
     for bad, why in (((good, good), "two decisions"), (((1, "x", "true", "true", "me", "today"),), "another hash"), (((1, "h", "true", "true", " ", "today"),), "no reviewer")):
         with pytest.raises(Exception, match=why):
             A.approved(rows, make(*bad), ["k"], "h").collect()
+
+
+def test_grouped_runs_reach_the_limit_exactly(spark):
+    hundredths = (473, 1387, 449, 191)  # 25 seconds; summed in this order as doubles they come to more
+    total = 0.0
+    for x in hundredths:
+        total += x / 100
+    assert total > 25 == sum(hundredths) / 100
+    rows = [(k, o, x / 100) for k in range(40) for o, x in enumerate(hundredths)]
+    got = A.grouped_runs(spark.createDataFrame(rows, "k long, o long, s double"), ["k"], "o", "s", "s").collect()
+    assert any(r.first == 0 and r.members == 4 for r in got)

@@ -58,3 +58,39 @@ def test_pools_top_up(spark):
     a, b = (spark.createDataFrame(x, "g int, k int, w int") for x in ([(1, 1, 5), (2, 2, 1)], [(1, 1, 0), (1, 3, 0), (1, 4, 0), (2, 2, 0)]))
     got = sorted((r.g, r.k, r.pool) for r in R.pooled([a, b], "k", F.col("w"), ["g"], 2).collect())
     assert got == [(1, 1, 0), (1, 3, 1), (2, 2, 0)]
+
+
+def test_intervals_match_as_all_against_all(spark):
+    import random
+    import time
+
+    from textloom.operators.records import match_spans
+
+    def plain(events, guesses, least):
+        used, out = set(), []
+        for g, a, b in guesses:
+            best, most = None, least
+            for e, c, d in events:
+                shared, union = max(0.0, min(d, b) - max(c, a)), max(d, b) - min(c, a)
+                if e not in used and union > 0 and shared / union >= most:
+                    best, most = e, shared / union
+            if best is not None:
+                used.add(best)
+                out.append((best, g, most))
+        return out
+
+    def stacks(events):
+        held = {}
+        for e, c, d in events:
+            held.setdefault((c, d), []).append(e)
+        return held
+
+    rnd = random.Random(3)
+    for grain in (1, 10, 1000):
+        for least in (0.5, 0.2, 1.0, 0.0):
+            rows = [(i, s, s + rnd.randint(0, 3 * grain) / grain) for i in range(200) for s in [rnd.randint(0, 30 * grain) / grain]]
+            assert match_spans(stacks(rows[::2]), rows[1::2], least) == plain(rows[::2], rows[1::2], least)
+    many = [(i, v % 30, v % 30 + 1 + v % 3) for i in range(40_000) for v in [i * 7 % 9_000 / 100]]
+    began = time.monotonic()
+    assert len(match_spans(stacks(many[::2]), many[1::2], 0.5)) > 15_000
+    assert time.monotonic() - began < 30  # all against all takes minutes

@@ -154,33 +154,62 @@ def conflict_free(rows: DataFrame, key: list[str], label: str) -> DataFrame:
     return one.select(*key, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.raise_error(told).cast(rows.schema[label].dataType)).alias(label))
 
 
+def match_spans(stacks: dict[tuple[float, float], list[int]], guesses: Iterable[tuple[int, float, float]], least: float) -> list[tuple[int, int, float]]:
+    """(event, guess, iou) of guesses (id, start, end) in their order; `stacks` are ascending ids of the events at each (start, end), and are used up."""
+    import numpy as np
+
+    def lay():
+        spans = sorted(k for k, ids in stacks.items() if ids)
+        grid = np.array(spans, float).reshape(-1, 2)
+        return spans, grid[:, 0], grid[:, 1], np.array([stacks[k][-1] for k in spans], np.int64), np.ones(len(spans), bool)
+
+    spans, start, end, top, alive = lay()
+    dead, out = 0, []
+    for guess, a, b in guesses:
+        low, high = 0, len(spans)
+        if 0 < least <= 1 and b > a:
+            # One that begins further off cannot share enough; a little more for rounding.
+            size, slack = b - a, 1e-6 * (1 + abs(a) + abs(b))
+            low, high = np.searchsorted(start, (a - size * (1 / least - 1) - slack, a + size * (1 - least) + slack))
+        shared = np.maximum(0.0, np.minimum(end[low:high], b) - np.maximum(start[low:high], a))
+        union = np.maximum(end[low:high], b) - np.minimum(start[low:high], a)
+        iou = np.divide(shared, union, out=np.full(len(union), -np.inf), where=alive[low:high] & (union > 0))
+        if not len(iou) or not (most := iou.max()) >= least:
+            continue
+        near = low + np.flatnonzero(iou == most)
+        k = int(near[np.argmax(top[near])])
+        ids = stacks[spans[k]]
+        out.append((ids.pop(), guess, float(most)))
+        if ids:
+            top[k] = ids[-1]
+        else:
+            alive[k], dead = False, dead + 1
+            if 2 * dead > len(spans):
+                (spans, start, end, top, alive), dead = lay(), 0
+    return out
+
+
 def match_intervals(events: DataFrame, guesses: DataFrame, by: str, least: float = 0.5) -> DataFrame:
     """(by, event, guess, iou): greedy one-to-one matches of intervals (by, id, kind, start, end) of one kind.
 
     Guesses are taken in order of their ids; each takes the unmatched event of its kind
     with the largest intersection over union of at least `least`, of equal ones the last
-    id.  A group's intervals are those of one recording: few, and matched in one task.
+    id.  Intervals of one recording and kind are matched in one task; equal ones are one
+    entry with a stack of ids, and a guess looks only at entries that begin near it.
+    Intervals without a start or an end match nothing.
     """
     def run(frame):
         import pandas as pd
 
-        used, out = set(), []
-        frame = frame.sort_values("id")
+        frame = frame[frame["start"].notna() & frame["end"].notna()].sort_values("id", kind="stable")
         left, right = frame[~frame["guess"]], frame[frame["guess"]]
-        for g in right.itertuples():
-            best, most = None, least
-            for e in left.itertuples():
-                if e.id in used or e.kind != g.kind:
-                    continue
-                shared = max(0.0, min(e.end, g.end) - max(e.start, g.start))
-                union = max(e.end, g.end) - min(e.start, g.start)
-                if union > 0 and shared / union >= most:
-                    best, most = e.id, shared / union
-            if best is not None:
-                used.add(best)
-                out.append((g.key, best, g.id, most))
-        return pd.DataFrame(out, columns=[by, "event", "guess", "iou"])
+        stacks: dict[tuple[float, float], list[int]] = {}
+        for e in left[["id", "start", "end"]].itertuples(index=False):
+            stacks.setdefault((e.start, e.end), []).append(e.id)
+        out = match_spans(stacks, right[["id", "start", "end"]].itertuples(index=False), least)
+        key = frame["key"].iloc[0] if len(frame) else None
+        return pd.DataFrame([(key, *m) for m in out], columns=[by, "event", "guess", "iou"])
 
     x, y = (df.select(F.col(by).alias("key"), "id", "kind", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(side).alias("guess")) for side, df in ((False, events), (True, guesses)))
     kind = events.schema[by].dataType.simpleString()
-    return x.unionByName(y).groupBy("key").applyInPandas(run, f"`{by}` {kind}, event long, guess long, iou double")
+    return x.unionByName(y).groupBy("key", "kind").applyInPandas(run, f"`{by}` {kind}, event long, guess long, iou double")

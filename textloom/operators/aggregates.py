@@ -46,13 +46,15 @@ def resamples(groups: DataFrame, order: list[str], sums: list[str], repetitions:
 
     Draw s of repetition r is the group whose number is the first eight hexadecimal digits
     of MD5("seed:r:s") modulo their count; groups are numbered from 0 in `order`.  Groups
-    are sums already and few: numbering them passes one task.
+    are sums already and few: numbering them passes one task.  Draws are rows that Spark
+    derives from one, so it takes them for few: they are dealt out by repetition, and the
+    join is by hash of the groups' side, never a broadcast of draws.
     """
     numbered = groups.select(*sums, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("_k"))
     size = groups.agg(F.count("*").alias("_n"))
-    draws = size.select("_n", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition")).filter("_n > 0").select("_n", "repetition", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_s"))
+    draws = size.select("_n", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition")).filter("_n > 0").repartition(repetitions, "repetition").select("_n", "repetition", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_s"))
     picked = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "repetition", "_s")), 1, 8), 16, 10).cast("long") % F.col("_n")
-    return draws.select("repetition", picked.alias("_k")).join(numbered, "_k").groupBy("repetition").agg(*[F.sum(c).alias(c) for c in sums])
+    return draws.select("repetition", picked.alias("_k")).join(numbered.hint("merge"), "_k").groupBy("repetition").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def cluster_bootstrap(groups: DataFrame, order: list[str], errors: str, words: str, repetitions: int = 500, seed: int = 42, level: float = 0.95) -> DataFrame:

@@ -56,3 +56,13 @@ def test_candidate_scores(spark):
         p = np.array(logits) - np.log(np.exp(logits).sum(1, keepdims=True))
         assert abs(got[i] - sum(p[k, ids[k]] for k in range(skip, 4))) < 1e-9
     assert got[98] == 0 and got[99] is None
+
+
+def test_a_large_tree_never_lies_beside_rows(spark):
+    words = spark.createDataFrame([("a", [1, 2], False), ("a", [1, 3], False), ("a", [9, 1], True), (None, [4], False)], "scope string, tokens array<int>, follows boolean")
+    said = spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate([("a", [1]), ("a", [1]), ("a", None), ("a", []), ("a", [7]), ("b", [1]), (None, [4]), (None, [])] * 3)], "i int, scope string, sequence array<int>")
+    few = tries.allowed_next(said, tries.word_trees(words), 0)
+    many = tries.allowed_next(said, tries.word_trees(words), 0, most_nodes=0)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.columns == few.columns
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan

@@ -7,6 +7,7 @@ set of places, as a prefix may be of several words at once.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 TREE = "tokens array<int>, begins array<int>, ends array<boolean>"
@@ -105,8 +106,8 @@ def word_trees(words: DataFrame, scope: str = "scope") -> DataFrame:
     return rows.groupBy(scope).applyInArrow(build, f"`{scope}` {kind}, first {tree}, following {tree}")
 
 
-#: Nodes of all trees together up to which every task holds them; beyond, a tree travels with its rows.
-MOST_NODES = 5_000_000
+#: Nodes of all trees together up to which every task holds them; beyond, a tree goes to `PARTS` tasks of its scope's sequences.
+MOST_NODES, PARTS = 5_000_000, 8
 
 
 def allowed_next(said: DataFrame, trees: DataFrame, end: int, scope: str = "scope", most_nodes: int = MOST_NODES) -> DataFrame:
@@ -115,42 +116,49 @@ def allowed_next(said: DataFrame, trees: DataFrame, end: int, scope: str = "scop
     A null sequence is an empty one.  Columns named like those of `trees` must not be there.
     """
     sides = ("first", "following")
+    trees = trees.persist(StorageLevel.DISK_ONLY)  # made once: their size, and they themselves
     size = trees.agg(F.sum(F.size("first.tokens") + F.size("following.tokens"))).first()[0] or 0
     known = {r[scope]: r for r in trees.collect()} if size <= most_nodes else None
     names = said.columns
     at, to = names.index(scope), names.index("sequence")
     made: dict = {}
 
-    def words(key, found) -> Words | None:
+    def words(key) -> Words | None:
         if key not in made:
-            if known is None:
-                made.clear()  # rows come by scope, and trees are large
-            tree = found()
-            made[key] = Words(*[(t["tokens"], t["begins"], t["ends"]) for t in tree]) if tree else None
+            made[key] = Words(*[(known[key][c]["tokens"], known[key][c]["begins"], known[key][c]["ends"]) for c in sides]) if key in known else None
         return made[key]
 
-    def tree_of(batch, k: int, key):
-        if known is not None:
-            return [known[key][c] for c in sides] if key in known else None
-        own = [batch.column(len(names) + n)[k].as_py() for n in range(2)]
-        return own if own[0] is not None else None
-
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             scopes, out = batch.column(at).to_pylist(), []
-            for k, s in enumerate(batch.column(to).to_pylist()):
-                key = scopes[k]
-                own = words(key, lambda k=k: tree_of(batch, k, key))
+            for key, s in zip(scopes, batch.column(to).to_pylist(), strict=True):
+                own = words(key)
                 out.append(None if own is None else own.allowed(s or [], end))
             kept = batch.columns[: len(names)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.int32()))], names=[*names, "next"])
 
-    rows = said
-    if known is None:
-        rows = said.join(trees, said[scope].eqNullSafe(trees[scope]), "left").drop(trees[scope]).select(*said.columns, *sides)
-    return rows.mapInArrow(run, T.StructType([*said.schema.fields, T.StructField("next", T.ArrayType(T.IntegerType()))]))
+    answer = T.StructField("next", T.ArrayType(T.IntegerType()))
+    if known is not None:
+        return said.mapInArrow(run, T.StructType([*said.schema.fields, answer]))
+
+    def walk(left, right):
+        import pyarrow as pa
+
+        own = None
+        if left.num_rows and right.num_rows:
+            parts = [[right.column(c).combine_chunks().field(f)[0].values.to_numpy(zero_copy_only=False) for f in ("tokens", "begins", "ends")] for c in sides]
+            own = Words(*parts)
+        out = [None if own is None else own.allowed(s or [], end) for s in left.column("_sequence").to_pylist()]
+        return pa.table([left.column("_scope"), left.column("_sequence"), pa.array(out, pa.list_(pa.int32()))], names=["_scope", "_sequence", "next"])
+
+    # A large tree meets each different sequence once, `PARTS` tasks a scope: it never lies beside a row.
+    asked = said.select(F.col(scope).alias("_scope"), F.col("sequence").alias("_sequence")).distinct().withColumn("_part", F.pmod(F.xxhash64("_sequence"), F.lit(PARTS)))
+    held = trees.select(F.col(scope).alias("_scope"), *sides, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")).alias("_part"))
+    fields = [T.StructField("_scope", said.schema[scope].dataType), T.StructField("_sequence", said.schema["sequence"].dataType), answer]
+    told = asked.groupBy("_scope", "_part").cogroup(held.groupBy("_scope", "_part")).applyInArrow(walk, T.StructType(fields))
+    return said.join(told, said[scope].eqNullSafe(told["_scope"]) & said["sequence"].eqNullSafe(told["_sequence"]), "left").select(*[said[c] for c in names], "next")
 
 
 def candidate_score(logits: Column, ids: Column, skipped: Column | int = 0) -> Column:

@@ -279,5 +279,5 @@ def apply_mix(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_co
     each = stored(rates.groupBy(F.col(f"`{id_col}`").alias("of")).agg(F.avg("rate").alias("rate")), "mean-rates")
     # Rows draw by id and text, so those that share an id draw apart unless they are equal.
     key = F.struct("id", F.col(f"row.`{text_col}`")) if text_col in docs.columns else F.col("id")
-    times = rows.join(each, F.col("id").eqNullSafe(F.col("of"))).withColumn("n", copies(F.col("rate"), key)).filter("n > 0")
+    times = rows.join(each.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).withColumn("n", copies(F.col("rate"), key)).filter("n > 0")
     return times.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")

@@ -65,7 +65,7 @@ def keep_ids(docs: DataFrame, stay: DataFrame, id_col: str) -> DataFrame:
     """Rows of `docs` whose id is in `stay` (id), and rows without an id, whatever their columns are called."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
     known = stay.select(F.col("id").alias("kept"))
-    return rows.join(known, F.col("id") == F.col("kept"), "left").filter("kept is not null or id is null").select("row.*")
+    return rows.join(known.hint("merge"), F.col("id") == F.col("kept"), "left").filter("kept is not null or id is null").select("row.*")
 
 
 def release(spark: SparkSession) -> None:

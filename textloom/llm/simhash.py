@@ -80,14 +80,14 @@ def links(fps: DataFrame, within: int = 3) -> DataFrame:
     right = same.select("seg", "own", "byte", "value", F.col("fp").alias("b"))
     differing = "(case when seg = 0 then (a ^ b) & 4294967295L else shiftrightunsigned(a ^ b, 32) end)"
     first = f"(case when {differing} & 255 = 0 then 0 when {differing} & 65280 = 0 then 1 when {differing} & 16711680 = 0 then 2 else 3 end)"
-    equal = left.join(right, ["seg", "own", "byte", "value"]).filter(F.expr(f"a < b and bit_count(a ^ b) <= {within} and byte = {first}"))
+    equal = left.join(right.hint("merge"), ["seg", "own", "byte", "value"]).filter(F.expr(f"a < b and bit_count(a ^ b) <= {within} and byte = {first}"))
 
     # One bit of the segment left out, and different there.
     holed = parts.select("fp", "seg", F.expr("own"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("hole"))
     holed = holed.select("fp", "seg", "hole", F.expr("own & ~shiftleft(1L, hole)").alias("rest"), F.expr("shiftright(own, hole) & 1").alias("bit"))
     zero = holed.filter("bit = 0").select("seg", "hole", "rest", F.col("fp").alias("a"))
     one = holed.filter("bit = 1").select("seg", "hole", "rest", F.col("fp").alias("b"))
-    off = zero.join(one, ["seg", "hole", "rest"]).filter(F.expr(f"bit_count(a ^ b) <= {within}"))
+    off = zero.join(one.hint("merge"), ["seg", "hole", "rest"]).filter(F.expr(f"bit_count(a ^ b) <= {within}"))
 
     # The other segment may report a pair as well.
     pairs = equal.select("a", "b").unionByName(off.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -108,7 +108,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = stored(links(classes.select("fp"), within), "simhash-links")
     # Written, so that Spark splits the rows of a fingerprint that very many documents share.
     members = stored(component_minima(classes.select(F.col("fp").alias("node"), F.col("first").alias("value")), edges), "simhash-members")
-    out = own.join(members, own.fp == members.node, "left")
+    out = own.join(members.hint("merge"), own.fp == members.node, "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("value").alias("component_id"))
 
 

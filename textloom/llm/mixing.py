@@ -18,7 +18,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm.bpe import encoder
-from textloom.llm.runtime import stored
+from textloom.llm.runtime import slices, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Features are hashed to so many buckets: the bound of a model's size.
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc
     def find(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             lists = [sorted(features(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["domain", "found"])
 
@@ -145,7 +145,7 @@ def with_posteriors(docs: DataFrame, model: PosteriorModel, tokenizer: str, id_c
         import pyarrow as pa
 
         own = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             posteriors = [model.posteriors(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.counts(batch.column(1))), pa.array(posteriors, pa.list_(pa.float64()))], names=["id", "tokens", "p"])
 

@@ -91,6 +91,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches, most: int = 1 << 21):
+    """Arrow batches in runs of rows of about `most` bytes, so that what a task makes of a run does not grow with Spark's batches."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -12,11 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.components import component_minima
-from textloom.llm.runtime import keep_ids, stored
+from textloom.llm.runtime import keep_ids, slices, stored
 
 SEED = 42
 
 
+def majority(hashes) -> int:
+    """The bits that are set in over half of an array of unsigned 64-bit hashes; 0 without any."""
+    import numpy as np
+
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):  # bounded memory for very long texts
+        part = hashes[at : at + 65_536].astype(">u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def simhash(words: list[bytes], size: int = 3) -> int:
     """64 majority bits over the XXH64 of all shingles of `size` words; 0 without words."""
     import numpy as np
@@ -32,11 +43,7 @@ def simhash(words: list[bytes], size: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         shingles = [joined[a:b] for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)]
-    total, counts = len(shingles), np.zeros(64, np.int64)
-    for at in range(0, total, 65_536):  # bounded memory for very long texts
-        hashes = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles[at : at + 65_536]), ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+    return majority(np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -46,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column(1):
                 words = (t.as_py() or "").encode().lower().split()

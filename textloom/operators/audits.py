@@ -6,6 +6,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -169,32 +170,60 @@ def omissions_of(expected: pd.Series, heard: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["correct", "slips", "omitted"])
 
 
-def best_matches(corpus: DataFrame, queries: DataFrame, key: str, text: str, query: str, block: int = 500) -> DataFrame:
+def _letter_counts(texts: list[str], place: dict[str, int]) -> np.ndarray:
+    """How often each text has each letter of `place`; other letters are not counted."""
+    counts = np.zeros((len(texts), len(place)), np.int32)
+    for n, t in enumerate(texts):
+        for c in t:
+            if c in place:
+                counts[n, place[c]] += 1
+    return counts
+
+
+def best_matches(corpus: DataFrame, queries: DataFrame, key: str, text: str, query: str, block: int = 500, run_of: int = 2_000) -> DataFrame:
     """(query, key, ratio): the most alike text of each query; of equal ones the smallest key, and none where nothing is alike.
 
-    A stated set of queries goes to the corpus in blocks; each task keeps one row a query,
-    and compares letter by letter only texts that the counts of letters do not rule out.
+    A stated set of queries goes to the corpus in blocks of different texts, and each
+    different text of the corpus is compared once, by its smallest key.  The counts of
+    letters, taken for a run of texts at once, say how alike a text can be at most; texts
+    are compared letter by letter from the highest such bound on, until the bound is below
+    what has been found.  Each task keeps one row a query.
     """
-    asked = [(r[0], r[1]) for r in queries.select(query, text).filter(F.col(text).isNotNull()).toLocalIterator()]
-    kinds = corpus.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
+    asked = [r[0] for r in queries.select(text).filter(F.col(text).isNotNull()).distinct().toLocalIterator()]
+    kind = corpus.schema[key].dataType.simpleString()
 
     def over(some):
         def run(frames):
             best = {}
+            place = {c: n for n, c in enumerate(sorted(set("".join(some))))}
+            wanted, sizes = _letter_counts(some, place), np.array([len(x) for x in some])
             for frame in frames:
-                for k, t in frame.sort_values("k").itertuples(index=False):
-                    for q, x in some:
-                        m, (top, _) = SequenceMatcher(None, x, t or ""), best.get(q, (0.0, None))
-                        if m.real_quick_ratio() > top and m.quick_ratio() > top and (r := m.ratio()) > top:
-                            best[q] = (r, k)
-            yield pd.DataFrame([(q, k, r) for q, (r, k) in best.items()], columns=["q", "k", "r"])
+                for at in range(0, len(frame), run_of):
+                    keys, texts = frame["k"].tolist()[at : at + run_of], frame["t"].tolist()[at : at + run_of]
+                    held, lengths = _letter_counts(texts, place), np.array([len(t) for t in texts])
+                    for n, x in enumerate(some):
+                        both = lengths + sizes[n]
+                        bound = np.where(both > 0, 2.0 * np.minimum(held, wanted[n]).sum(axis=1) / np.maximum(both, 1), 1.0)
+                        top, k = best.get(x, (0.0, None))
+                        some_at = np.flatnonzero((bound >= top) & (bound > 0))
+                        for m in some_at[np.argsort(-bound[some_at], kind="stable")].tolist():
+                            if bound[m] < top:
+                                break
+                            r = SequenceMatcher(None, x, texts[m]).ratio()
+                            if r > top or (r == top and k is not None and keys[m] < k):
+                                top, k = r, keys[m]
+                        if k is not None:
+                            best[x] = (top, k)
+            yield pd.DataFrame([(x, k, r) for x, (r, k) in best.items()], columns=["x", "k", "r"])
 
         return run
 
-    rows = corpus.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null")
+    rows = corpus.filter(F.col(key).isNotNull()).groupBy(F.coalesce(text, F.lit("")).alias("t")).agg(F.min(key).alias("k"))
+    rows = rows.select("k", "t").repartition(2 * corpus.sparkSession.sparkContext.defaultParallelism)
     found = None
     for at in range(0, max(1, len(asked)), block):
-        part = rows.mapInPandas(over(asked[at : at + block]), f"q {kinds[1]}, k {kinds[0]}, r double")
+        part = rows.mapInPandas(over(asked[at : at + block]), f"x string, k {kind}, r double")
         found = part if found is None else found.unionByName(part)
-    top = found.groupBy("q").agg(F.min(F.struct((-F.col("r")).alias("r"), "k")).alias("b"))
-    return top.select(F.col("q").alias(query), F.col("b.k").alias(key), (-F.col("b.r")).alias("ratio"))
+    top = found.groupBy("x").agg(F.min(F.struct((-F.col("r")).alias("r"), "k")).alias("b"))
+    asking = queries.select(F.col(query).alias("q"), F.col(text).alias("x"))
+    return asking.join(top, "x").groupBy("q").agg(F.min("b").alias("b")).select(F.col("q").alias(query), F.col("b.k").alias(key), (-F.col("b.r")).alias("ratio"))

@@ -92,7 +92,7 @@ class Encoder:
 
     def _packed(self, distinct) -> list[bytes]:
         """Packed ids of distinct units (an Arrow binary array)."""
-        np, units = self._np, distinct.to_pylist()
+        np, units = self._np, distinct.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each first
         if len(self._memo) > self._max_units:
             self._memo = {}
         memo = self._memo
@@ -119,8 +119,8 @@ class Encoder:
         memo.update((units[k], out[k]) for k in missing[size[missing] <= self._max_bytes].tolist())
         return out
 
-    def _chunk(self, data, offsets):
-        """(ids, how many each text has) of the texts that `offsets` cut out of `data`."""
+    def _units(self, data, offsets):
+        """(packed ids of distinct units, the number of each unit in turn, how many ids come before each, which unit begins each text) of the texts that `offsets` cut out of `data`."""
         import pyarrow as pa
 
         np = self._np
@@ -128,7 +128,7 @@ class Encoder:
         starts, ends = offsets[:-1], offsets[1:]
         filled = ends > starts
         if not len(data):
-            return np.zeros(0, "<u4"), np.zeros(len(starts), np.int64)
+            return [], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
         mark = np.zeros(len(data), bool)
         if self._cuts:
             gap = (data == 32) | (data == 10)
@@ -151,12 +151,19 @@ class Encoder:
         packed = self._packed(units.dictionary)
         number = units.indices.to_numpy()
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // ID_BYTES
-        pool = np.frombuffer(b"".join(packed), "<u4")
-        where = np.cumsum(sizes) - sizes
-        n = sizes[number]
-        total = np.concatenate(([0], np.cumsum(n)))
-        ids = pool[np.repeat(where[number] - total[:-1], n) + np.arange(total[-1])]
-        first = np.searchsorted(cuts, offsets)
+        total = np.concatenate(([0], np.cumsum(sizes[number])))
+        return packed, number, total, np.searchsorted(cuts, offsets)
+
+    def _chunk(self, data, offsets):
+        """(ids, how many each text has) of the texts that `offsets` cut out of `data`."""
+        np = self._np
+        packed, number, total, first = self._units(data, offsets)
+        ids = np.zeros(0, "<u4")
+        if packed:
+            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // ID_BYTES
+            where = np.cumsum(sizes) - sizes
+            pool = np.frombuffer(b"".join(packed), "<u4")
+            ids = pool[np.repeat(where[number] - total[:-1], np.diff(total)) + np.arange(total[-1])]
         return ids, np.diff(total[first])
 
     def chunks(self, texts) -> Iterator[tuple]:
@@ -165,6 +172,11 @@ class Encoder:
         `ids` are the ids of the run's texts one after the other, `counts` how many each
         has; a null text has none.  Runs hold about CHUNK bytes, or one longer text.
         """
+        for first, *run in self._runs(texts):
+            yield first, *self._chunk(*run)
+
+    def _runs(self, texts) -> Iterator[tuple]:
+        """(first, data, offsets) of the runs."""
         import pyarrow as pa
 
         np = self._np
@@ -177,13 +189,14 @@ class Encoder:
         first = 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1)
-            yield first, *self._chunk(data[offsets[first] : offsets[last]], offsets[first : last + 1])
+            yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1]
             first = last
 
     def counts(self, texts):
         """How many ids each row of an Arrow string array has."""
         np = self._np
-        return np.concatenate([np.zeros(0, np.int64), *[n for _, _, n in self.chunks(texts)]])
+        found = (self._units(*run) for _, *run in self._runs(texts))  # ids need not be put together
+        return np.concatenate([np.zeros(0, np.int64), *[np.diff(total[first]) for _, _, total, first in found]])
 
     def encode(self, text: str) -> bytes:
         """Packed ids of one text."""

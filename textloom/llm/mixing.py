@@ -25,23 +25,30 @@ SPACES = " \t\n\x0b\x0c\r"
 BUCKETS = 1 << 18
 
 
-def features(text: str) -> set[int]:
-    """Buckets of a text's distinct words (letters of ASCII in lower case, marks at their ends cut), and of its shape."""
+_SHAPES = {k: [crc32(f"\0{k}:{v}".encode()) % BUCKETS for v in range(10)] for k in ("capitals", "symbols", "distinct", "lines", "length")}
+
+
+def features(text: str):
+    """Buckets (an array; some may come twice) of a text's distinct words (letters of ASCII in lower case, marks at their ends cut), and of its shape."""
+    import numpy as np
+
     raw = text.encode()
     words = raw.lower().split()
-    found = {crc32(w.strip(b".,;:!?\"'()[]*#%&$|")) % BUCKETS for w in set(words)}
+    distinct = set(words)
+    marks = b".,;:!?\"'()[]*#%&$|"
+    found = np.fromiter(map(crc32, [w.strip(marks) for w in distinct]), np.int64, len(distinct)) % BUCKETS
     n = max(1, len(words))
-    upper = sum(len(w) > 1 for w in raw.split() if w.isupper())
-    symbols = sum(map(text.count, "#*$%&|<>"))
-    lines = [x for x in raw.split(b"\n") if x.strip()]
+    upper = sum(len(w) > 1 for w in filter(bytes.isupper, raw.split()))
+    symbols = len(raw) - len(raw.translate(None, b"#*$%&|<>"))
+    lines = list(filter(bytes.strip, raw.split(b"\n")))
     shape = {
         "capitals": upper / n,
         "symbols": symbols / n,
-        "distinct": len(set(words)) / n ** 0.8,
+        "distinct": len(distinct) / n ** 0.8,
         "lines": len(set(lines)) / max(1, len(lines)),
         "length": math.log2(n) / 20,
     }
-    return found | {crc32(f"\0{k}:{min(9, int(10 * v))}".encode()) % BUCKETS for k, v in shape.items()}
+    return np.append(found, [_SHAPES[k][min(9, int(10 * v))] for k, v in shape.items()])
 
 
 class PosteriorModel:
@@ -49,12 +56,18 @@ class PosteriorModel:
 
     def __init__(self, domains: list[str], weights: dict[int, list[float]], prior: list[float]):
         self.domains, self.weights, self.prior = domains, weights, prior
+        self._has = None
 
     def posteriors(self, text: str | None) -> list[float]:
         if not self.domains:
             return []
-        score = list(self.prior)
-        for f in features(text or "") & self.weights.keys():
+        import numpy as np
+
+        if self._has is None:
+            self._has = np.zeros(BUCKETS, bool)
+            self._has[list(self.weights)] = True
+        score, found = list(self.prior), features(text or "")
+        for f in sorted(set(found[self._has[found]].tolist())):
             for k, w in enumerate(self.weights[f]):
                 score[k] += w
         top = max(score)
@@ -123,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc
         import pyarrow as pa
 
         for batch in slices(batches):
-            lists = [sorted(features(t.as_py() or "")) for t in batch.column(1)]
+            lists = [sorted(set(features(t.as_py() or "").tolist())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["domain", "found"])
 
     held = stored(rows.mapInArrow(find, "domain string, found array<long>"), "labelled")

@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from test_recitation import KNOWN, NOT
 
@@ -70,3 +71,10 @@ def test_rule_queries_have_no_rows_of_letters(spark, sf):
     for name in ("ru1_ru2_ru3_ru4_ru7_letter_rules", "ru5_ru6_ru8_ru9_ru10_verse_rules", "ru12_segments", "ru13_ru15_tagged_words"):
         plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "Join" not in plan and "MapInArrow" in plan, name
+
+
+def test_tallies_are_counts_of_rows(spark):
+    verses = spark.createDataFrame(odd_verses(60), "k int, c int, v int, t string")
+    for tally, plain in ((glyphs.annotated_tally(verses, BY, "t"), L.annotated(verses, BY, "t")), (glyphs.recited_tally(verses, BY, "c", "v", "t"), R.recited(verses, BY, "c", "v", "t"))):
+        want = plain.groupBy("k", "rule").agg(F.count("*").alias("n"), F.sum("word").alias("words"), F.sum("index").alias("indexes"))
+        assert rows(tally) == rows(want)

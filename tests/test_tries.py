@@ -66,3 +66,22 @@ def test_a_large_tree_never_lies_beside_rows(spark):
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.columns == few.columns
     plan = many._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan
+
+
+def test_without_a_tree_as_with_one(spark):
+    rnd = random.Random(8)
+    words = [(rnd.choice(("a", "b", None)), [rnd.randrange(1, 4) for _ in range(rnd.randrange(4))], rnd.choice((True, False, None))) for _ in range(24)] + [("a", None, True)]
+    said = [(rnd.choice(("a", "b", None, "c")), rnd.choice((None, *[[rnd.choice((1, 2, 3, 1, 2, END)) for _ in range(rnd.randrange(7))] for _ in range(9)]))) for _ in range(400)]
+    said += [(s, [1, 2, 3, 1, 2][:k] + [END] * e) for s in ("a", "b", None, "c") for k in range(6) for e in range(3)]
+    df, table = spark.createDataFrame([(i, *r) for i, r in enumerate(said)], "i int, scope string, sequence array<int>").repartition(3), spark.createDataFrame(words, "scope string, tokens array<int>, follows boolean")
+    got, want = (sorted(map(str, x.collect())) for x in (tries.allowed_after(df, table, END), tries.allowed_next(df, tries.word_trees(table), END)))
+    assert got == want and len({x.split("next=")[1] for x in got}) >= 8
+    assert {r.next is None for r in tries.allowed_after(df, table.limit(0), END).collect()} == {True} and tries.allowed_after(df.limit(0), table, END).count() == 0
+
+
+def test_words_of_a_scope_are_not_in_one_task(spark, sf):
+    """The plan had a tree of all words of a language in one group."""
+    from textloom.plans import catalog
+
+    plan = catalog.queries()["mi21_next_letters"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "CoGroup" not in plan

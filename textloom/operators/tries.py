@@ -161,6 +161,63 @@ def allowed_next(said: DataFrame, trees: DataFrame, end: int, scope: str = "scop
     return said.join(told, said[scope].eqNullSafe(told["_scope"]) & said["sequence"].eqNullSafe(told["_sequence"]), "left").select(*[said[c] for c in names], "next")
 
 
+def allowed_after(said: DataFrame, words: DataFrame, end: int, scope: str = "scope") -> DataFrame:
+    """`said` with next as `allowed_next` has it, for the words of `word_trees`: without a tree, so that a scope's words are in no one task or row.
+
+    A saying is taken apart into spans, which are looked up among the beginnings of words
+    that are no longer than the longest saying; beginnings are rows that are shuffled.
+    """
+    names, none = said.columns, F.array().cast("array<int>")
+    own = F.coalesce("sequence", none)
+    ended = F.array_position(own, end)
+    asked = said.select(F.col(scope).alias("_scope"), F.col("sequence").alias("_sequence")).distinct().withColumnRenamed("_sequence", "sequence")
+    asked = asked.select("_scope", F.col("sequence").alias("_sequence"), F.when(ended > 0, F.slice(own, 1, (ended - 1).cast("int"))).otherwise(own).alias("_said"), F.when(ended > 0, F.forall(F.slice(own, ended.cast("int"), F.size(own)), lambda t: t == end)).alias("_over"))
+    most = asked.agg(F.max(F.size("_said"))).first()[0] or 0
+
+    given = words.select(F.col(scope).alias("_scope"), "tokens", F.coalesce("follows", F.lit(False)).alias("follows")).filter("size(tokens) > 0")
+    given = given.select("_scope", "tokens", F.explode(F.when(F.col("follows"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("_behind"))
+    begun = given.select("_scope", "_behind", "tokens", F.explode(F.sequence(F.lit(0), F.least(F.size("tokens"), F.lit(most)))).alias("n"))
+    begun = begun.select("_scope", "_behind", F.slice("tokens", 1, F.col("n")).alias("_span"), F.get("tokens", F.col("n")).alias("t"), (F.col("n") == F.size("tokens")).alias("word")).distinct()
+    begun = begun.groupBy("_scope", "_behind", "_span").agg(F.collect_set("t").alias("next"), F.max("word").alias("word"))
+
+    # Spans of a saying of n tokens: from i to j; the one at n, n is the beginning of a word behind it.
+    n, i, j = F.size("_said"), F.col("i"), F.col("j")
+    spans = asked.select("*", F.explode(F.sequence(F.lit(0), n)).alias("i")).select("*", F.explode(F.when(i < n, F.sequence(i + 1, n)).otherwise(F.array(n))).alias("j"))
+    spans = spans.select("_scope", "_sequence", "_said", "_over", "i", "j", (i > 0).alias("_behind"), F.slice("_said", i + 1, j - i).alias("_span"))
+    # A scope without words allows nothing, not even the end of nothing: its empty beginning tells.
+    spans = spans.union(asked.select("_scope", "_sequence", "_said", "_over", F.lit(-1), F.lit(-1), F.lit(False), none))
+    met = spans.join(begun.withColumnRenamed("_scope", "_of"), F.col("_scope").eqNullSafe(F.col("_of")) & (spans["_behind"] == begun["_behind"]) & (spans["_span"] == begun["_span"]))
+    found = met.groupBy("_scope", "_sequence", "_said", "_over").agg(F.collect_list(F.struct("i", "j", "word", "next")).alias("_found"))
+
+    def told(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [_next_of(len(s), over, f, end) for s, over, f in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.int32()))], names=["_scope", "_sequence", "next"])
+
+    fields = [T.StructField("_scope", said.schema[scope].dataType), T.StructField("_sequence", said.schema["sequence"].dataType), T.StructField("next", T.ArrayType(T.IntegerType()))]
+    answers = found.mapInArrow(told, T.StructType(fields))
+    return said.join(answers, said[scope].eqNullSafe(answers["_scope"]) & said["sequence"].eqNullSafe(answers["_sequence"]), "left").select(*[said[c] for c in names], "next")
+
+
+def _next_of(n: int, over: bool | None, found: list[dict], end: int) -> list[int] | None:
+    """Tokens that may follow a saying of `n` tokens, by its spans that begin a word; `over` says that the end has been said, and whether nothing else followed."""
+    held = {(f["i"], f["j"]): f for f in found}
+    complete = {0}
+    for j in range(1, n + 1):
+        if any(i in complete and (f := held.get((i, j))) and f["word"] for i in range(j)):
+            complete.add(j)
+    if over is not None:
+        return [end] if over and n in complete else None
+    out = {t for i in range(n) if i in complete for t in held.get((i, n), {"next": ()})["next"]}
+    if n == 0:
+        out = {end, *held[-1, -1]["next"]}
+    elif n in complete:
+        out |= {end, *held.get((n, n), {"next": ()})["next"]}
+    return sorted(out) or None
+
+
 def candidate_score(logits: Column, ids: Column, skipped: Column | int = 0) -> Column:
     """The summed log-probability of a candidate: `logits` (array of an array a step) at its `ids`, without the first `skipped` steps.
 
